@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_shards, op7_mix, op8_decontaminate, op9_rules
+from . import op3_shards, op4_jaccard, op7_mix, op8_decontaminate, op9_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_shards.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mix.taken(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_consistent_hash_shards, op7_mix_blocks, op8_wu_manber, op9_rule_ledger)}
+    return {f.__name__: f for f in (op3_consistent_hash_shards, op4_jaccard_join, op7_mix_blocks, op8_wu_manber, op9_rule_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:
