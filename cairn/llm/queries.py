@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_shards, op4_jaccard, op7_mix, op8_decontaminate, op9_rules
+from . import op3_shards, op4_jaccard, op7_mix, op8_decontaminate, op9_rules, op10_rulefit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,12 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select(*cols, base.alias("base_failed"), "kept", "failed_bits", "policy")
 
 
+def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_rulefit.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_consistent_hash_shards, op4_jaccard_join, op7_mix_blocks, op8_wu_manber, op9_rule_ledger)}
+    return {f.__name__: f for f in (op3_consistent_hash_shards, op4_jaccard_join, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble)}
 
 
 def oracle_sql() -> dict[str, str]:
