@@ -160,7 +160,8 @@ def taken(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     spark, base = docs.sparkSession, sized(docs)
     sources = plan(base, block=block)
     placed = with_sources(streams(base, ["doc_id"]), sources)
-    times = slots(spark, sources, seed=seed).groupBy("rank", "index").agg(F.count("*").alias("times"))
+    # The planner takes the exploded slots for as small as the table they come from; without the hint it would broadcast them.
+    times = slots(spark, sources, seed=seed).groupBy("rank", "index").agg(F.count("*").alias("times")).hint("merge")
     parts = overlaps(placed.select("rank", "start", "size"), block).select("rank", "start", "index", (F.col("hi") - F.col("lo")).alias("n"))
     # (rank, start) names a document that has words.
     got = parts.join(times, ["rank", "index"]).groupBy("rank", "start").agg(F.sum(F.col("n") * F.col("times")).alias("got"))
@@ -176,7 +177,7 @@ def mixed_docs(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     whole = docs.select("doc_id", "source", F.struct(*[docs[c] for c in docs.columns]).alias("__row"), count_words(F.col("text")).alias("size"))
     sources = plan(sized(docs), block=block)
     placed = with_sources(streams(whole, ["doc_id"]), sources).select("rank", "start", "size")
-    took = slots(spark, sources, seed=seed).select("rank", "index", "pass")
+    took = slots(spark, sources, seed=seed).select("rank", "index", "pass").hint("merge")
     parts = overlaps(placed, block).join(took, ["rank", "index"])
     runs = parts.groupBy("rank", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
     full = with_sources(streams_rows(whole), sources)
