@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_shards, op4_jaccard, op5_html, op7_mix, op8_decontaminate, op9_rules, op10_rulefit
+from . import op3_shards, op4_jaccard, op5_html, op6_preference, op7_mix, op8_decontaminate, op9_rules, op10_rulefit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_preference.digest(table(spark, sf_dir, "conversations"))
+
+
 def op7_mix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mix.taken(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble)}
+    return {f.__name__: f for f in (op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op6_preference_pairs, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -84,4 +84,36 @@ select p.doc_id, size::bigint as size, source_size, target, coalesce(taken, 0)::
 from p left join g using (k) join (select rank, source from s7) z using (rank)
 """
 
-ORACLE = {"op7_mix_blocks": OP7, "op8_wu_manber": OP8, "op9_rule_ledger": OP9}
+OP6 = r"""
+with t as (select (conv_id - ((conv_id % 2) + 2) % 2) // 2 as pair_id, ((conv_id % 2) + 2) % 2 as side, conv_id,
+             coalesce(role, '') as role, coalesce(text, '') as text,
+             row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as r
+           from conversations where conv_id is not null),
+a as (select * from t where side = 0), b as (select * from t where side = 1),
+n as (select pair_id, max(r) as n, max(case when side = 0 then conv_id end) as chosen_id, max(case when side = 1 then conv_id end) as rejected_id
+      from t group by pair_id),
+d as (select coalesce(a.pair_id, b.pair_id) as pair_id, min(coalesce(a.r, b.r)) - 1 as k
+      from a full join b on a.pair_id = b.pair_id and a.r = b.r
+      where a.role is distinct from b.role or a.text is distinct from b.text group by 1),
+p as (select n.*, coalesce(k, n) as k from n left join d using (pair_id)),
+c as (select t.*, k, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as piece,
+        len(role) + 13 as head, len(text) as body from t join p using (pair_id)),
+e as (select *, sum(head + body + 11) over (partition by pair_id, side order by r) - sum(case when r <= k then head + body + 11 else 0 end) over (partition by pair_id, side) as upto
+      from c),
+g as (select pair_id,
+        string_agg(piece, '' order by r) filter (side = 0 and r <= k) as prompt,
+        string_agg(piece, '' order by r) filter (side = 0 and r > k) as chosen,
+        string_agg(piece, '' order by r) filter (side = 1 and r > k) as rejected,
+        string_agg((upto - 11 - body)::bigint || '-' || (upto - 1)::bigint, ',' order by r) filter (side = 0 and r > k and role = 'assistant') as chosen_learn,
+        string_agg((upto - 11 - body)::bigint || '-' || (upto - 1)::bigint, ',' order by r) filter (side = 1 and r > k and role = 'assistant') as rejected_learn
+      from e group by pair_id)
+select pair_id, chosen_id, rejected_id, k::int as n_prefix, coalesce(prompt, '') as prompt,
+  case when chosen_id is not null then coalesce(chosen, '') end as chosen,
+  case when rejected_id is not null then coalesce(rejected, '') end as rejected,
+  case when chosen_id is not null then coalesce(chosen_learn, '') end as chosen_learn,
+  case when rejected_id is not null then coalesce(rejected_learn, '') end as rejected_learn,
+  chosen_learn is not null and rejected_learn is not null as usable
+from p join g using (pair_id)
+"""
+
+ORACLE = {"op6_preference_pairs": OP6, "op7_mix_blocks": OP7, "op8_wu_manber": OP8, "op9_rule_ledger": OP9}
