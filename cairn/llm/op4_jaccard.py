@@ -5,12 +5,15 @@ none, has one shingle of all its words. Documents with the same sequence of word
 one member of each class.
 
 1. A class gets ``HASHES`` MinHash values of 16 bits. Bands of four values retrieve candidates: a pair of similarity 0.8
-   shares none of the 32 bands with a probability of 5e-8.
-2. Buckets with more than one class are dealt into cells of at most ``2 * CHUNK`` classes: a large bucket is split into
-   chunks, and each pair of chunks is a cell of its own. Within a cell the MinHash values are compared 16 at a time; a pair
-   goes when the posterior probability (uniform prior) that its similarity reaches the threshold is below ``TOLERANCE``.
-   A pair that several bands retrieve is looked at in the first of them only.
-3. The pairs left are verified: exact Jaccard coefficient of the shingle sets (of 64-bit hashes).
+   shares none of the 32 bands with a probability of 5e-8. Every class of a bucket is tied to the bucket's least class; the
+   connected components of these ties (as many as rows, never pairs) are the groups within which pairs are compared.
+2. Groups are dealt into cells of at most ``2 * CHUNK`` classes: a large group is split into chunks, and each pair of
+   chunks is a cell of its own, so every pair belongs to one cell. Groups of more than ``MAX_CHUNKS`` chunks, which chains
+   of chance retrievals might make, are dealt by bucket instead, and a pair is looked at in the first band it shares.
+3. Within a cell the MinHash values are compared 16 at a time; a pair goes when the posterior probability (uniform prior)
+   that its similarity reaches the threshold is below ``TOLERANCE``. The pairs left are verified: exact Jaccard coefficient
+   of the shingle sets (of 64-bit hashes). A cell tells the links of each class and ties linked classes to their least
+   one; pairs are never rows, so a group of thousands of near copies makes no more rows than it has chunks times members.
 
 No limit is set on buckets, partners or candidates. Result, one row per document: doc_id, copy_id (least id of its class),
 class_id (least id of the classes that links connect), n_links (other documents whose similarity is at least 0.8).
@@ -40,7 +43,8 @@ THRESHOLD = 0.8
 HASHES, ROWS, STEP = 128, 4, 16
 TOLERANCE = 1e-5
 CHUNK = 256
-#: Candidates' ids are broadcast up to so many rows (40 bytes each); beyond, the texts are joined by a shuffle.
+MAX_CHUNKS = 32
+#: The ids of classes in groups are broadcast up to so many rows (40 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Shingles hashed at a time.
 SLAB = 4096
@@ -141,8 +145,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+CELL = ("grp", "band", "key", "lo", "hi")
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of digests left after pruning. Rows come sorted by cell; a cell that goes on in the next batch waits for it."""
+    """Links of each class in each cell. Rows come sorted by cell; a cell that goes on in the next batch waits for it."""
     need = least_matches()
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -152,56 +159,96 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = _cell_ids(table)
         cutoff = int(np.searchsorted(cells, cells[-1]))
         if cutoff:
-            yield from _pairs(table.slice(0, cutoff), cells[:cutoff], need)
+            yield from _links(table.slice(0, cutoff), cells[:cutoff], need)
         held = table.slice(cutoff).combine_chunks().to_batches()
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
-        yield from _pairs(table, _cell_ids(table), need)
+        yield from _links(table, _cell_ids(table), need)
 
 
 def _cell_ids(table: pa.Table) -> np.ndarray:
     """Numbers the cells in order of appearance."""
     new = np.zeros(table.num_rows, bool)
-    for c in ("band", "key", "lo", "hi"):
+    for c in CELL:
         v = table.column(c).to_numpy()
         new[1:] |= v[1:] != v[:-1]
     return np.cumsum(new)
 
 
-def _pairs(table: pa.Table, cells: np.ndarray, need: list[int]) -> Iterator[pa.RecordBatch]:
+def _retrieved(table: pa.Table, cells: np.ndarray, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row numbers) of the same cell that pruning leaves."""
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, HASHES)
     bands = sketch.view(_U)
     band, chunk, size = table.column("band").to_numpy(), table.column("chunk").to_numpy(), table.column("n_shingles").to_numpy().astype(np.int64)
     across = table.column("lo").to_numpy() != table.column("hi").to_numpy()
-    digest = table.column("digest").combine_chunks()
-    n, d = len(cells), 1
-    left, right = [], []
-    while d < n:
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, len(cells)):
         i = np.flatnonzero(cells[d:] == cells[:-d])
         if not len(i):
             break
         i = i[~(across[i] & (chunk[i] == chunk[i + d]))]
         x, y = size[i], size[i + d]
-        i = i[np.minimum(x, y) >= THRESHOLD * np.maximum(x, y) - 1e-9]
+        i = i[np.minimum(x, y) * 10 >= round(THRESHOLD * 10) * np.maximum(x, y)]
         matches = np.zeros(len(i), np.int64)
         for step, least in enumerate(need):
             at = slice(step * STEP, (step + 1) * STEP)
             matches += (sketch[i, at] == sketch[i + d, at]).sum(axis=1)
             stay = matches >= least
             i, matches = i[stay], matches[stay]
-        # Only in the first band that retrieves the pair.
-        i = i[(bands[i] == bands[i + d]).argmax(axis=1) == band[i]] if len(i) else i
+        if len(i):
+            # A cell of a bucket takes the pairs that no earlier band retrieves.
+            i = i[(band[i] < 0) | ((bands[i] == bands[i + d]).argmax(axis=1) == band[i])]
         left.append(i)
         right.append(i + d)
-        d += 1
-    if left and sum(map(len, left)):
-        a, b = (digest.take(pa.array(np.concatenate(x))) for x in (left, right))
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _links(table: pa.Table, cells: np.ndarray, need: list[int]) -> Iterator[pa.RecordBatch]:
+    i, j = _retrieved(table, cells, need)
+    if not len(i):
+        return
+    column = table.column("s").combine_chunks()
+    at, values = column.offsets.to_numpy(), column.values.to_numpy()
+    size, docs = np.diff(at), table.column("n").to_numpy()
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    linked = np.zeros(len(i), bool)
+    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+    for lo, hi in zip(starts, np.r_[starts[1:], len(i)], strict=True):
+        mine = values[at[i[lo]] : at[i[lo] + 1]]
+        for k in range(lo, hi, 64):  # some partners at a time
+            some = j[k : min(k + 64, hi)]
+            theirs = np.concatenate([values[at[x] : at[x + 1]] for x in some])
+            found = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            ends = np.cumsum(size[some])
+            both = np.diff(np.r_[0, np.cumsum(mine[found] == theirs)[ends - 1]])
+            linked[k : k + len(some)] = both * 10 >= round(THRESHOLD * 10) * (len(mine) + size[some] - both)
+    i, j = i[linked], j[linked]
+    near = np.zeros(len(cells), np.int64)
+    np.add.at(near, i, docs[j])
+    np.add.at(near, j, docs[i])
+    up = list(range(len(cells)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    rows = np.flatnonzero(near)
+    if len(rows):
+        digest = table.column("digest").combine_chunks()
+        roots = [root(x) for x in rows.tolist()]
+        yield pa.RecordBatch.from_arrays([digest.take(pa.array(rows)), digest.take(pa.array(roots)), pa.array(near[rows])], names=["digest", "root", "near"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(words(t.as_py())).view(np.int64) for t in batch.column("text").cast(pa.binary())]
+        found = [np.sort(shingles(words(t.as_py())).view(np.int64)) for t in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["digest", "s"])
 
 
@@ -219,35 +266,45 @@ def classes_of(sig: DataFrame) -> DataFrame:
     return sums.agg(F.count("*").alias("n"), first, F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """a, b: pairs of digests that a band retrieves and that Bayesian pruning leaves, each once."""
+def groups(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes in buckets of more than one: (band, key, m, hub) of those buckets; and digest, component, g (chunks)."""
     rows = classes.select("digest", F.posexplode("bands").alias("band", "key"))
-    many = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = rows.join(many, ["band", "key"]).withColumn("g", F.ceil(F.col("m") / CHUNK).cast("int"))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("g")).cast("int"))
+    hubs = cut(rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("digest").alias("hub")).where("m > 1"), "buckets")
+    ties = rows.join(hubs, ["band", "key"]).where("digest != hub").select("digest", "hub").distinct()
+    comp = components(ties, "digest", "hub").withColumnsRenamed({"node": "digest"})
+    sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("g"))
+    return rows, hubs, cut(comp.join(sizes, "component"), "groups")
+
+
+def cells(classes: DataFrame) -> DataFrame:
+    """digest, the cell it belongs to (CELL) and its chunk; a digest is in several cells of a large group."""
+    rows, hubs, comp = groups(classes)
+    small = comp.where(F.col("g") <= MAX_CHUNKS).select("digest", F.col("component").alias("grp"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("key"), "g")
+    large = comp.where(F.col("g") > MAX_CHUNKS).select("digest")
+    out = small
+    if large.head(1):
+        by_bucket = rows.join(large, "digest", "left_semi").join(hubs, ["band", "key"])
+        out = out.union(by_bucket.select("digest", F.lit(b"").alias("grp"), "band", "key", F.ceil(F.col("m") / CHUNK).cast("int").alias("g")))
+    out = out.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("g")).cast("int"))
     # Each chunk meets each chunk in one cell: lo <= hi.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("digest", "band", "key", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
-    rows = rows.join(classes.select("digest", "sketch", "n_shingles"), "digest")
-    cells = rows.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "digest")
-    pairs = cells.select("band", "key", "lo", "hi", "chunk", "digest", "sketch", "n_shingles").mapInArrow(_compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return out.select("digest", "grp", "band", "key", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: pairs of digests whose shingle sets have a Jaccard coefficient of at least the threshold."""
-    pairs = cut(candidates(classes), "candidates")
-    ids = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    need = cut(classes.select("digest", "rep").join(ids, "digest", "left_semi").select("digest", F.col("rep.doc_id").alias("__id"), F.col("rep.h").alias("__h")), "needed")
-    need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    """digest, root, near of every class with links, in each of its cells: the documents it is linked with there, and the
+    class that the cell's linked classes are tied to."""
+    where = cut(cells(classes), "cells")
+    need = classes.join(where.select("digest").distinct(), "digest", "left_semi")
+    need = cut(need.select("digest", "n", "sketch", "n_shingles", F.col("rep.doc_id").alias("__id"), F.col("rep.h").alias("__h")), "needed")
+    ids = need.select(F.col("digest"), "__id", "__h")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     text = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    text = text.join(need, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "text")
-    sets = cut(text.mapInArrow(_sets, "digest binary, s array<long>").dropDuplicates(["digest"]), "sets")
-    x = pairs.join(sets.select(F.col("digest").alias("a"), F.col("s").alias("sa")), "a")
-    x = x.join(sets.select(F.col("digest").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    x = x.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return x.where(F.col("i") * 10 >= (F.col("t") - F.col("i")) * round(THRESHOLD * 10)).select("a", "b")
+    text = text.join(ids, (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select("digest", "text")
+    sets = text.mapInArrow(_sets, "digest binary, s array<long>").dropDuplicates(["digest"])
+    full = where.join(need.select("digest", "n", "sketch", "n_shingles").join(sets, "digest"), "digest")
+    full = full.repartition(*CELL).sortWithinPartitions(*CELL, "digest")
+    return full.select(*CELL, "chunk", "digest", "n", "sketch", "n_shingles", "s").mapInArrow(_compare, "digest binary, root binary, near long")
 
 
 def join(docs: DataFrame, keep_digest: bool = False) -> DataFrame:
@@ -255,10 +312,8 @@ def join(docs: DataFrame, keep_digest: bool = False) -> DataFrame:
     sig = cut(signatures(docs), "signatures")
     classes = cut(classes_of(sig), "classes")
     found = cut(links(docs, classes), "links")
-    both = found.union(found.select("b", "a")).toDF("digest", "other")
-    sizes = classes.select(F.col("digest").alias("other"), F.col("n").alias("m"))
-    near = both.join(sizes, "other").groupBy("digest").agg(F.sum("m").alias("near"))
-    comp = components(found, "a", "b").withColumnsRenamed({"node": "digest"})
+    near = found.groupBy("digest").agg(F.sum("near").alias("near"))
+    comp = components(found.where("digest != root"), "digest", "root").withColumnsRenamed({"node": "digest"})
     named = classes.select("digest", "n", "rep").join(comp, "digest", "left").join(near, "digest", "left")
     named = named.withColumn("component", F.coalesce("component", "digest"))
     head = named.groupBy("component").agg(F.min("rep").alias("head"))

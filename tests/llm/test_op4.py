@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from cairn.llm import op4_jaccard as J
 from cairn.llm.op8_decontaminate import words
 
@@ -46,8 +48,10 @@ def test_equals_brute_force_on_documents(spark, sf):
     assert got == brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
-def test_large_group_of_near_copies_is_split_into_cells(spark, monkeypatch):
+@pytest.mark.parametrize("max_chunks", [32, 1])
+def test_large_group_of_near_copies_is_split_into_cells(spark, monkeypatch, max_chunks):
     monkeypatch.setattr(J, "CHUNK", 8)
+    monkeypatch.setattr(J, "MAX_CHUNKS", max_chunks)
     rng = random.Random(3)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     texts = [" ".join(base)]
