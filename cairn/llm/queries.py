@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_pii, op3_shards, op4_jaccard, op5_html, op6_preference, op7_mix, op8_decontaminate, op9_rules, op10_rulefit
+from . import op1_pii, op2_licenses, op3_shards, op4_jaccard, op5_html, op6_preference, op7_mix, op8_decontaminate, op9_rules, op10_rulefit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_consistent_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_shards.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -51,7 +55,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op6_preference_pairs, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_license_windows, op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op6_preference_pairs, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble)}
 
 
 def oracle_sql() -> dict[str, str]:
