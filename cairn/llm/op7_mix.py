@@ -3,7 +3,7 @@
 The documents of a source, in the order of a hash, form one stream of words, cut into blocks of ``block`` words (the last
 one may be shorter). A source's target decides how many slots of the mix it fills; for every output shard the numbers of
 slots by source are a multinomial draw, conditioned on the shard's size and on the sources' totals (that is, multivariate
-hypergeometric), so the totals are met to within half a block. The j-th slot of a source takes the block at index
+hypergeometric), so the totals of slots are exact and the words taken come within one and a half blocks of the target. The j-th slot of a source takes the block at index
 permutation(j mod blocks): a keyed swap-or-not shuffle of [0, blocks), computed per slot. Blocks are joined by
 (source, index). A source's slots number at most three times its blocks, so no document is taken more than three times.
 
@@ -99,8 +99,8 @@ def streams(docs: DataFrame, keep: list[str]) -> DataFrame:
     cells = rows.groupBy("__s", "__cell").agg(F.sum("size").alias("__n"))
     over = Window.partitionBy("__s").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(over), F.lit(0))).drop("__n")
-    ties = [c for c in keep if c not in ("text",)]
-    within = Window.partitionBy("__s", "__cell").orderBy("__h", *ties, "size").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows that tie up to here have the same size, so any order of them gives the same set of positions.
+    within = Window.partitionBy("__s", "__cell").orderBy("__h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.join(cells, ["__s", "__cell"]).withColumn("start", F.col("__before") + F.sum("size").over(within) - F.col("size"))
     return summed.select(*keep, "source", "size", "start")
 
@@ -180,20 +180,14 @@ def mixed_docs(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     took = slots(spark, sources, seed=seed).select("rank", "index", "pass").hint("merge")
     parts = overlaps(placed, block).join(took, ["rank", "index"])
     runs = parts.groupBy("rank", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
-    full = with_sources(streams_rows(whole), sources)
+    full = with_sources(streams(whole.where("size > 0"), ["doc_id", "__row"]), sources)
     out = full.join(runs, ["rank", "start"])
     # A word with the white space after it; what stands before the first word goes with it.
     pieces = F.split(F.col("__row.text"), f"(?<=[{WS}])(?=[^{WS}])")
     lead = F.col("__row.text").rlike(f"^[{WS}]").cast("int")
     cut = out.withColumn("__p", F.when(F.col("n") < F.col("size"), pieces)).withColumn("__lead", lead)
     taken_text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("__p"), (r["lo"] + 1 + F.col("__lead")).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
-    text = F.when(F.col("n") == F.col("size"), F.col("__row.text")).otherwise(F.rtrim(taken_text))
+    text = F.when(F.col("n") == F.col("size"), F.col("__row.text")).otherwise(F.regexp_replace(taken_text, f"[{WS}]+$", ""))
     cut = cut.withColumn("__text", text)
     cols = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(t).alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c, t in docs.dtypes]
     return cut.select(*cols)
-
-
-def streams_rows(whole: DataFrame) -> DataFrame:
-    """streams, with the documents' rows."""
-    h = streams(whole.select("doc_id", "source", "size", "__row"), ["doc_id", "__row"])
-    return h
