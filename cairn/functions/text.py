@@ -107,8 +107,8 @@ def links(header: Column) -> Column:
     """map of rel -> URL of a Link header; a later rel replaces an earlier one."""
     p = r'<([^>]*)>[^,]*?;\s*[rR][eE][lL]="?([^",;]+)"?'
     urls, rels = F.regexp_extract_all(header, F.lit(p), F.lit(1)), F.regexp_extract_all(header, F.lit(p), F.lit(2))
-    pairs = F.arrays_zip(rels.alias("r"), urls.alias("u"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(rels, i + 2, F.greatest(F.size(rels), F.lit(1))), lambda r: r == x["0"]))
+    pairs = F.zip_with(rels, urls, lambda r, u: F.struct(r.alias("rel"), u.alias("url")))
+    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(rels, i + 2, F.greatest(F.size(rels), F.lit(1))), lambda r: r == x["rel"]))
     return F.map_from_entries(last)
 
 
