@@ -32,4 +32,4 @@ def query(ids: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import storage_queries, upkeep_queries  # noqa: F401
+    from . import byte_queries, storage_queries, upkeep_queries  # noqa: F401
