@@ -182,11 +182,10 @@ def mixed_docs(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     runs = parts.groupBy("rank", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
     full = with_sources(streams(whole.where("size > 0"), ["doc_id", "__row"]), sources)
     out = full.join(runs, ["rank", "start"])
-    # A word with the white space after it; what stands before the first word goes with it.
-    pieces = F.split(F.col("__row.text"), f"(?<=[{WS}])(?=[^{WS}])")
-    lead = F.col("__row.text").rlike(f"^[{WS}]").cast("int")
-    cut = out.withColumn("__p", F.when(F.col("n") < F.col("size"), pieces)).withColumn("__lead", lead)
-    taken_text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("__p"), (r["lo"] + 1 + F.col("__lead")).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
+    # Each word with the white space after it.
+    pieces = F.regexp_extract_all(F.col("__row.text"), F.lit(f"[^{WS}]++[{WS}]*+"), F.lit(0))
+    cut = out.withColumn("__p", F.when(F.col("n") < F.col("size"), pieces))
+    taken_text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("__p"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
     text = F.when(F.col("n") == F.col("size"), F.col("__row.text")).otherwise(F.regexp_replace(taken_text, f"[{WS}]+$", ""))
     cut = cut.withColumn("__text", text)
     cols = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(t).alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c, t in docs.dtypes]
