@@ -28,7 +28,7 @@ KEY_CONF = "spark.cairn.pii.key"
 DAYS, RADICES, EPOCH = 146097, (189, 773), "1800-01-01"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-EMAIL = r"\b[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}\b"
+EMAIL = r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}\b"
 SECRET = r"\b[0-9A-Fa-f]{32,128}\b|\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36,255}\b|\bsk-[0-9A-Za-z\-]{20,200}\b"
 IPV4 = rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b(?!\.[0-9])"
 ISO_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
@@ -37,7 +37,9 @@ SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 PHONE = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}\b|\b[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}\b"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b"
 NUMBER = r"\b[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}\b|\b[0-9]{12,34}\b"
-ANY = "|".join((EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, IBAN, NUMBER, SECRET))
+PATTERN = "|".join((EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, IBAN, NUMBER, SECRET))
+#: (?U): letters of any script are letters, so a local part in French is found whole.
+ANY = f"(?U){PATTERN}"
 
 
 def _prf(key: Column, tweak: Column, i: Column, value: Column, size: Column) -> Column:
@@ -188,7 +190,7 @@ def secret(s: Column, key: Column) -> Column:
 
 
 def whole(pattern: str) -> str:
-    return f"^(?:{pattern})$"
+    return f"(?U)^(?:{pattern})$"
 
 
 def kind_of(s: Column) -> Column:
@@ -222,7 +224,7 @@ def protect(docs: DataFrame, key: str | None = None, text: str = "text") -> Data
     key = F.lit(key or docs.sparkSession.conf.get(KEY_CONF, "cairn"))
     t = F.col(text)
     names = [c for c in docs.columns if c != "found"]
-    matches = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)))
+    matches = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     x = docs.select(*names).withColumn("__m", matches)
     some = F.size("__m") > 0
     x = x.withColumn("__new", F.when(some, F.transform("__m", lambda m: pseudonym(m, key))))
