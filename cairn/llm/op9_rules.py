@@ -40,7 +40,7 @@ RULES = (
     Rule(2, "symbols", "10 * n_symbols > n_words"),
     Rule(3, "short_words", "word_chars < 2 * n_words"),
     Rule(4, "long_words", "word_chars > 15 * n_words"),
-    Rule(5, "repeated_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    Rule(5, "repeated_lines", "n_lines >= 10 and 2 * n_dup_lines > n_lines"),
 )
 
 #: Versioned policies: the names of the rules that reject.

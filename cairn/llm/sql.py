@@ -16,7 +16,7 @@ m as (select doc_id, len(w) as n_words, len(array_to_string(w, '')) as word_char
       from w join ln using (k) left join rep using (k)),
 b as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int
         + 8 * (word_chars < 2 * n_words)::int + 16 * (word_chars > 15 * n_words)::int
-        + 32 * (n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines)::int as bits from m)
+        + 32 * (n_lines >= 10 and 2 * n_dup_lines > n_lines)::int as bits from m)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, (bits & 3) <> 0 as base_failed,
   bits = 0 as kept, bits::bigint as failed_bits, 'v2' as policy

@@ -18,7 +18,7 @@ def ledger(text):
     dup = sum(x in lines[:i] for i, x in enumerate(lines))
     chars, sym = sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t))
     base = len(w) < 50 or 100 * len(rep) > 50 * len(w)
-    other = 10 * sym > len(w) or chars < 2 * len(w) or chars > 15 * len(w) or len(lines) >= 4 and 10 * dup > 3 * len(lines)
+    other = 10 * sym > len(w) or chars < 2 * len(w) or chars > 15 * len(w) or len(lines) >= 10 and 2 * dup > len(lines)
     return len(w), chars, sym, dup, len(rep), base, not base and not other
 
 
