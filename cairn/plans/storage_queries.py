@@ -278,3 +278,12 @@ def wire_plans(t: Tables):
     w = reconstruct.wire_plan(plan, reconstruct.fetches(plan, t.container_chunks))
     add = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + f(x))
     return w.select("request", "offset", F.size("terms").cast("long").alias("n_terms"), add("terms", lambda x: x["unpacked"]).alias("bytes"), add(F.map_values("fetch"), lambda x: F.size(x).cast("long")).alias("n_ranges"))
+
+
+@query("O2", "select shard, container, row_number() over (partition by shard order by sha256(container::varchar)) - 1 as ord from (select distinct shard, container from @shard_terms)")
+def container_order(t: Tables):
+    from pyspark.sql import Window
+
+    # By the string form of the hash, which is not the order of its bytes.
+    x = t.shard_terms.select("shard", "container").distinct()
+    return x.withColumn("ord", F.row_number().over(Window.partitionBy("shard").orderBy(F.sha2(F.col("container").cast("string"), 256))) - 1)

@@ -149,7 +149,7 @@ ISLANDS = f"""(select container, g, min(chunk_start) as chunk_start, max(chunk_e
     select *, max(chunk_end) over (partition by container order by chunk_start, chunk_end rows between unbounded preceding and 1 preceding) as reach from {RANGES})) group by container, g)"""
 
 
-@query("W10", f"select container, chunk_start, chunk_end, parts from {ISLANDS}")
+@query("W10 O6", f"select container, chunk_start, chunk_end, parts from {ISLANDS}")
 def merged_ranges(t: Tables):
     return cache.merged(_ranges(t))
 
