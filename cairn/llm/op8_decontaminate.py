@@ -101,19 +101,30 @@ SPANS, ITEMS = "__spans", "__items"
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with n_words, __spans (merged hit spans of words, flat) and __items (sorted ids of the items that occur)."""
     spark = docs.sparkSession
-    out = docs
-    first = True
-    for block in [*pattern_blocks(benchmark, window, max_windows)] or [{}]:
-        shared = spark.sparkContext.broadcast(block)
-        fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField(SPANS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
-        out = out.mapInArrow(searcher(shared, docs.columns, first), T.StructType(fields))
-        first = False
-    return out
+    fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField(SPANS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
+
+    def search(rows: DataFrame, block: dict, first: bool) -> DataFrame:
+        return rows.mapInArrow(searcher(spark.sparkContext.broadcast(block), docs.columns, first), T.StructType(fields))
+
+    out, first = docs, True
+    for block in pattern_blocks(benchmark, window, max_windows):  # one block on the driver at a time
+        out, first = search(out, block, first), False
+    return search(out, {}, True) if first else out
+
+
+_built: list = [None, None]
+
+
+def built(block: dict) -> Tables:
+    """The tables of a block, kept in a worker from task to task."""
+    if _built[0] is not block:
+        _built[:] = [block, Tables(block)]
+    return _built[1]
 
 
 def searcher(shared, columns: list[str], first: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(shared.value)
+        tables = built(shared.value)
         for batch in batches:
             texts = batch.column(columns.index("text")).cast(pa.binary())
             old = [None] * batch.num_rows if first else list(zip(batch.column(len(columns) + 1).to_pylist(), batch.column(len(columns) + 2).to_pylist(), strict=True))
