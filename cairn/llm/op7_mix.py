@@ -184,7 +184,9 @@ def mixed_docs(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     out = full.join(runs, ["rank", "start"])
     # Each word with the white space after it.
     pieces = F.regexp_extract_all(F.col("__row.text"), F.lit(f"[^{WS}]++[{WS}]*+"), F.lit(0))
-    cut = out.withColumn("__p", F.when(F.col("n") < F.col("size"), pieces))
+    # The id, which is never negative, keeps the pieces a column: inlined below, they would be made again for each run.
+    partial = (F.col("n") < F.col("size")) & (F.monotonically_increasing_id() >= 0)
+    cut = out.withColumn("__p", F.when(partial, pieces))
     taken_text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("__p"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
     text = F.when(F.col("n") == F.col("size"), F.col("__row.text")).otherwise(F.regexp_replace(taken_text, f"[{WS}]+$", ""))
     cut = cut.withColumn("__text", text)
