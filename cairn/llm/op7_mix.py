@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, count_words
+from .common import WS, count_words, cut
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64
@@ -157,7 +157,8 @@ def sized(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 def taken(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
-    spark, base = docs.sparkSession, sized(docs)
+    # Sizes are read again by the plan and by the streams; the texts are read once.
+    spark, base = docs.sparkSession, cut(sized(docs), "sizes")
     sources = plan(base, block=block)
     placed = with_sources(streams(base, ["doc_id"]), sources)
     # The planner takes the exploded slots for as small as the table they come from; without the hint it would broadcast them.
@@ -175,8 +176,9 @@ def mixed_docs(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     in their order and with their white space; n_chars, where docs has it, is the new text's length."""
     spark = docs.sparkSession
     whole = docs.select("doc_id", "source", F.struct(*[docs[c] for c in docs.columns]).alias("__row"), count_words(F.col("text")).alias("size"))
-    sources = plan(sized(docs), block=block)
-    placed = with_sources(streams(whole, ["doc_id"]), sources).select("rank", "start", "size")
+    base = cut(sized(docs), "sizes")
+    sources = plan(base, block=block)
+    placed = with_sources(streams(base, ["doc_id"]), sources).select("rank", "start", "size")
     took = slots(spark, sources, seed=seed).select("rank", "index", "pass").hint("merge")
     parts = overlaps(placed, block).join(took, ["rank", "index"])
     runs = parts.groupBy("rank", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
@@ -186,9 +188,9 @@ def mixed_docs(docs: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     pieces = F.regexp_extract_all(F.col("__row.text"), F.lit(f"[^{WS}]++[{WS}]*+"), F.lit(0))
     # The id, which is never negative, keeps the pieces a column: inlined below, they would be made again for each run.
     partial = (F.col("n") < F.col("size")) & (F.monotonically_increasing_id() >= 0)
-    cut = out.withColumn("__p", F.when(partial, pieces))
+    out = out.withColumn("__p", F.when(partial, pieces))
     taken_text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("__p"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
     text = F.when(F.col("n") == F.col("size"), F.col("__row.text")).otherwise(F.regexp_replace(taken_text, f"[{WS}]+$", ""))
-    cut = cut.withColumn("__text", text)
+    out = out.withColumn("__text", text)
     cols = [F.col("__text").alias(c) if c == "text" else F.length("__text").cast(t).alias(c) if c == "n_chars" else F.col(f"__row.`{c}`").alias(c) for c, t in docs.dtypes]
-    return cut.select(*cols)
+    return out.select(*cols)
