@@ -116,4 +116,30 @@ select pair_id, chosen_id, rejected_id, k::int as n_prefix, coalesce(prompt, '')
 from p join g using (pair_id)
 """
 
-ORACLE = {"op6_preference_pairs": OP6, "op7_mix_blocks": OP7, "op8_wu_manber": OP8, "op9_rule_ledger": OP9}
+
+
+def _licenses() -> str:
+    from .op2_licenses import NOTICES
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in NOTICES.items())
+    words = r"list_filter(regexp_split_to_array(lower({}), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '')"
+    return f"""
+with n(license_id, text) as (values {values}),
+tw as (select license_id, {words.format('text')} as w from n),
+ts as (select distinct license_id, array_to_string(w[i:i + 4], ' ') as g from (select license_id, w, unnest(generate_series(1, len(w) - 4)) as i from tw)),
+tc as (select license_id, count(*) as n, (2 ** ceil(log2(2.5 * count(*))))::bigint as size from ts group by license_id),
+d as (select row_number() over () as k, doc_id, {words.format("coalesce(text, '')")} as w from documents),
+ds as (select k, i - 1 as i, len(w) - 4 as len, array_to_string(w[i:i + 4], ' ') as g from (select k, w, unnest(generate_series(1, len(w) - 4)) as i from d)),
+hit as (select k, license_id, n, size, i, len, ds.g from ds join ts on ds.g = ts.g join tc using (license_id)),
+win as (select distinct k, license_id, n, size, g, least(w, greatest(ceil((len - size) / (size / 2.0)), 0))::bigint as w
+        from (select *, unnest([i // (size // 2), i // (size // 2) - 1]) as w from hit)),
+got as (select k, license_id, n, size, w, count(*) as hits from win where w >= 0 group by all having count(*) * 10 >= n * 8),
+best as (select *, row_number() over (partition by k, license_id order by hits desc, w) as r from got),
+per as (select k, count(*) as c, string_agg(license_id, ',' order by license_id) as l,
+          string_agg((w * (size // 2)) || '-' || (w * (size // 2) + size + 4), ',' order by license_id) as p from best where r = 1 group by k)
+select doc_id, coalesce(c, 0)::bigint as n_licenses, coalesce(l, '') as licenses, coalesce(p, '') as places from d left join per using (k)
+"""
+
+
+ORACLE = {"op2_license_windows": _licenses(), "op6_preference_pairs": OP6, "op7_mix_blocks": OP7, "op8_wu_manber": OP8, "op9_rule_ledger": OP9}
