@@ -7,6 +7,8 @@ their arc (the cells before one point), then by arc. Thus only the number of row
 the driver makes from at most ``2**GRID_BITS`` counts, whatever the number of rows, and the rows look up their shard and
 slot in a plan table of at most ``2**GRID_BITS + arcs * shards`` rows, which is why it may be broadcast.
 
+Rows that share id and text share a cell; they are ranked by a sort that spills.
+
 Defined results: null texts have size 1 and the checksum 0; null and repeated ids are ordinary keys; equal rows get
 different slots; an empty table gives no rows; extra columns may be carried along by name.
 """

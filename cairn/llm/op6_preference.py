@@ -4,7 +4,8 @@ The longest common prefix of the turns of a chosen and a rejected conversation (
 the prompt; what follows in either is rendered as its completion, with the spans of characters to learn from: the text and
 end mark of every assistant turn. Everything else in a completion is masked.
 
-One shuffle deals the turns by pair; prefix lengths are running sums, so the work is linear in the turns of a pair.
+One shuffle deals the turns by pair; prefix lengths are running sums, so the work is linear in the turns of a pair. A pair is
+one row of the result, so its turns meet in one task; sorts spill.
 
 Defined results: turns without a conversation id belong to no conversation. A null role or text counts as empty. Turns come
 in the order of (turn, role, text), nulls first; repeated turns each count. A pair that lacks a side has an empty prompt and
