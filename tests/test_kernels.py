@@ -57,6 +57,14 @@ def test_published_hashes():
     assert K.parse_hash("07") is K.parse_hash("g" * 64) is K.parse_hash(None) is None
 
 
+def test_published_node_and_term_hashes():
+    nodes = ["c28f58387a60d4aa200c311cda7c7f77f686614864f5869eadebf765d0a14a69", "6e4e3263e073ce2c0e78cc770c361e2778db3b054b98ab65e277fc084fa70f22"]
+    root = K.merkle_root([(K.parse_hash(nodes[0]), 100), (K.parse_hash(nodes[1]), 200)])
+    assert K.hash_string(root) == "be64c7003ccd3cf4357364750e04c9592b3c36705dee76a71590c011766b6c14"
+    raw = ["aad4607a38588fc2777f7cda1c310c209e86f564486186f6694aa1d065f7ebad", "2cce73e063324e6e271e360c77cc780e65ab984b053bdb78220fa74f08fc77e2"]
+    assert K.hash_string(K.term_hash([bytes.fromhex(x) for x in raw])) == "eb06a8ad81d588ac05d1d9a079232d9c1e7d0b07232fa58091caa7bf333a2768"
+
+
 def test_keyed_hash_equals_the_jvm(spark):
     jvm = spark.sparkContext._jvm.org.apache.commons.codec.digest.Blake3
     sizes = [0, 1, 63, 64, 65, 1023, 1024, 1025, 2048, 3072, 5000, 8192, 16385, 40000]
