@@ -155,11 +155,11 @@ def valid_chunk_range(start: Column, end: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """Sizes for people: B below 1024, else one digit after the point."""
+    """Sizes for people: B below 1024, else one digit after the point, ties to even."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        text = F.concat(F.format_string("%.1f", n / float(1024**i)), F.lit(f" {unit}"))
-        out = out.when(n < 1024 ** (i + 1), text) if i < 4 else out.otherwise(text)
+    for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
+        text = F.concat(F.format_string("%.1f", F.bround(n / float(1024**i), 1)), F.lit(f" {unit}"))
+        out = out.when(n < 1024 ** (i + 1), text) if i < 5 else out.otherwise(text)
     return out
 
 

@@ -415,6 +415,17 @@ def link_headers(t: Tables):
     return x.select("page_id", F.col("m")["next"].alias("next"), F.col("m")["auth"].alias("auth"), "human")
 
 
+@query("F39 F51", """select page_id, url as next, 'https://x.example/2' as auth, case when b < 1024 then b || ' B' when b < 1048576 then format('{:.1f} KiB', b / 1024.0) when b < 1073741824 then format('{:.1f} MiB', b / 1048576.0)
+  else format('{:.1f} GiB', b / 1073741824.0) end as human from (select *, case page_id % 4 when 0 then page_id when 3 then page_id * 1048576 + 1073741824 else page_id * 1536 end as b from pages)""")
+def link_headers_all(t: Tables):
+    """link_headers over every page; sizes from bytes to GiB."""
+    i = F.col("page_id")
+    header = F.concat(F.lit("<"), F.col("url"), F.lit('>; rel="next", <https://x.example/1>; rel=auth, <https://x.example/2>; title="t"; rel="auth"'))
+    size = F.when(i % 4 == 0, i).when(i % 4 == 3, i * 1048576 + 1073741824).otherwise(i * 1536)
+    x = t.pages.select("page_id", fn.links(header).alias("m"), fn.byte_size(size).alias("human"))
+    return x.select("page_id", F.col("m")["next"].alias("next"), F.col("m")["auth"].alias("auth"), "human")
+
+
 @query("F29 F30 S25", "select event_id as name, event_id % 10 as chunk_start, event_id % 10 + event_id % 7 as chunk_end, event_id as byte_start, event_id + 5 as byte_end, event_id % 7 > 0 as valid, true as bad from events")
 def cache_names(t: Tables):
     i = F.col("event_id")
