@@ -34,9 +34,22 @@ IPV4 = rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b(?!\.[0-9])"
 ISO_DATE = r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b"
 DAY_DATE = r"\b[0-9]{2}\.[0-9]{2}\.[0-9]{4}\b|\b[0-9]{2}/[0-9]{2}/[0-9]{4}\b"
 SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
-PHONE = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}\b|\b[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}\b"
+_LOCAL = r"\b[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}\b"
+#: What a space before it parts from a number: the group belongs to an address, a date or a number of its own.
+_NEXT = rf"{IPV4}|{ISO_DATE}|{DAY_DATE}|{SSN}|{_LOCAL}|[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}}\b(?![ \-][0-9]{{4}}\b)|[0-9]{{12}}"
+#: After ten digits a phone may be whole: a year, a decimal number or a time is none of its groups.
+_NEXT_WHOLE = rf"{_NEXT}|(?:19|20)[0-9]{{2}}\b|[0-9]+[.,:/][0-9]"
+_SHUT = "|".join(rf"(?<=\([0-9]{{{n}}})\)[ .\-]?" for n in range(1, 6))
+_GROUP = r"[ .\-](?=[0-9]{2})"
+_HEAD = rf"{_GROUP}|[ .\-]?\((?=[0-9]{{1,5}}\))|{_SHUT}"
+#: At most 15 digits (E.164); +1 has ten after it.
+PHONE = (
+    r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}\b"
+    rf"|\+[0-9](?:(?:{_HEAD})?[0-9]){{6}}(?:(?:(?! (?:{_NEXT})){_GROUP})?[0-9]){{0,3}}(?:(?:(?! (?:{_NEXT_WHOLE})){_GROUP})?[0-9]){{0,5}}\b"
+    rf"|\([0-9]{{3}}\) ?[0-9]{{3}}[ .\-][0-9]{{4}}\b|{_LOCAL}"
+)
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b"
-NUMBER = r"\b[0-9]{4}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}\b|\b[0-9]{12,34}\b"
+NUMBER = rf"\b[0-9]{{4}}(?:[ \-]?[0-9]{{4}}){{2}}(?! (?:{_NEXT}))[ \-]?[0-9]{{1,7}}\b|\b[0-9]{{12,34}}\b"
 PATTERN = "|".join((EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, IBAN, NUMBER, SECRET))
 #: (?U): letters of any script are letters, so a local part in French is found whole.
 ANY = f"(?U){PATTERN}"

@@ -111,3 +111,25 @@ def test_edges(spark):
     assert "256.1.1.1" in r[6].text
     assert len(r[7].found) == 1 and r[7].text.startswith("x" * 100000)
     assert P.protect(docs_of(spark, [])).count() == 0
+
+
+PARTS = {
+    "phone": ["+1 (826) 555-4081", "+1-826-555-4081", "+49 30 1234 5678", "+44 7911 123456", "+4915112345678", "(826) 555-4081", "826-555-4081"],
+    "ipv4": ["190.137.223.204", "10.0.0.1"], "iso_date": ["2024-05-06"], "dot_date": ["06.05.2024"], "slash_date": ["06/05/2024"], "ssn": ["078-05-1120"],
+    "number": ["4111 1111 1111 1111", "9807915762804490", "123456789012"], "email": ["x@mail.example.com"],
+}
+
+
+def test_adjacent_pairs_of_kinds(spark):
+    flat = [(k, v) for k, vs in PARTS.items() for v in vs]
+    alone = {v: r.text for (_, v), r in zip(flat, run(spark, [v for _, v in flat]), strict=True)}
+    pairs = [(a, b) for a in flat for b in flat]
+    for (a, b), r in zip(pairs, run(spark, [f"{a[1]} {b[1]}" for a, b in pairs]), strict=True):
+        assert ([p.kind for p in r.found], r.text) == ([a[0], b[0]], f"{alone[a[1]]} {alone[b[1]]}"), (a, b, r)
+
+
+def test_what_follows_a_phone_is_not_of_it(spark):
+    phones = [v for v in PARTS["phone"] if len(re.sub("[^0-9]", "", v)) >= 10]
+    alone = [r.text for r in run(spark, phones)]
+    for after in (" 2024", " 3.14", " 12:30", ", 17", " (see 12)"):
+        assert [r.text for r in run(spark, [v + after for v in phones])] == [t + after for t in alone], after
