@@ -30,7 +30,11 @@ from pyspark.sql import DataFrame
 
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math canvas audio video object".split())
+#: Their content is no markup. An unclosed script or style takes the rest of the page, as in browsers; of the others only the tag goes.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+CODE = frozenset("script style".split())
+#: What browsers do not show of elements that are whole: hidden at their own end tag, so that a missing one hides nothing.
+HIDE = frozenset("noscript template canvas audio video object annotation annotation-xml desc metadata defs symbol".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
@@ -140,13 +144,14 @@ def parse(page: str) -> Node:
                 while x.tag != tag:
                     x = x.parent
                 here = close(x)
+                x.drop = x.drop or tag in HIDE
             elif tag == "br":
                 here.children.append(" ")
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else n if tag in CODE else at
             continue
         if tag in ("html", "head", "body") and open_tags.get(tag):
             continue

@@ -48,3 +48,15 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in main_text(df).collect()) == [(0, "", 0), (1, "", 0), (1, "x", 1)]
     assert main_text(df.limit(0)).count() == 0
+
+
+def test_missing_end_tags_lose_no_text():
+    for tag in "video audio canvas object svg math template noscript iframe textarea title".split():
+        assert extract(f"<body><{tag}><article><p>{LONG}</p><p>Last.</p></article></body>").split("\n\n") == [PLAIN, "Last."], tag
+        assert extract(f"<body><article><p>{LONG}</p><{tag}><p>{LONG}</p></article><p>x</p></body>").split("\n\n") == [PLAIN, PLAIN], tag
+
+
+def test_formulas_stay_and_what_is_not_shown_goes():
+    math = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
+    page = f"<article><p>{LONG} {math} holds.</p><object><object>a</object>b</object><p>{LONG}</p><video>no video</video><noscript>c</noscript><svg><desc>d</desc><path d='M0'/></svg><template><p>t</p></template><p>End.</p></article>"
+    assert extract(page).split("\n\n") == [f"{PLAIN} x=2 holds.", PLAIN, "End."]
