@@ -9,7 +9,8 @@ with c characters, l link characters, t tags, l_t link tags: characters per tag,
 2011). A node's density sum adds its children's densities. The threshold is the least density on the path from the node of
 the largest density sum up to the body; the extraction takes the maximum-sum subtree among nodes at or above it. Inside
 that subtree, menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by tag, role, class or id)
-and link lists go; all other text stays, in page order. A page that marks one article takes the search to that article.
+go; all other text stays, in page order. A page that marks one article takes the search to that article; in others, link
+lists go too. Of a form in or around an article, or with most of the page's text, only the controls go.
 
 Blocks are what block-level tags delimit. White space inside a block is one space; blocks are joined by an empty line.
 
@@ -45,16 +46,19 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
 # What is not the article, by tag, by role, and by words of class and id.
-DROP_TAGS = frozenset("nav footer aside form button select dialog menu fieldset input label".split())
+DROP_TAGS = frozenset("nav footer aside button select datalist textarea dialog menu input".split())
+#: Dropped or kept by what they hold, see settle().
+FORMS = frozenset("form fieldset".split())
+CONTROLS = frozenset("input select textarea button".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted"
-    " nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc"
-    " masthead topbar footer colophon copyright legal"
+    " nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager"
+    " masthead topbar footer colophon"
     " sidebar aside widget widgets related recommended recommendations"
     " comment comments commentlist respond replies disqus"
-    " cookie cookies consent gdpr notice notices popup modal overlay paywall alert disclaimer"
-    " share sharing social newsletter subscribe subscription signup login form search skip".split()
+    " cookie cookies consent gdpr notice notices popup modal overlay paywall alert"
+    " share sharing social newsletter subscribe subscription signup login form skip".split()
 )
 #: Of these tags a class says less: a page's body may well be of class "has-sidebar".
 ROOT_TAGS = frozenset("html body".split())
@@ -91,9 +95,11 @@ def boilerplate(tag: str, attrs: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             said = {w for w in _SPLIT.split(_HUMP.sub(" ", value).lower()) if w}
+            if tag in FORMS:
+                said -= FORMS  # the id of a page's one form may well be "aspnetForm"
             if not said.isdisjoint(ARTICLE_DROP if tag in ARTICLE_TAGS else DROP_WORDS) or "header" in said and said <= PAGE_HEADER:
                 return True
-        elif name == "role" and value.lower() in DROP_ROLES:
+        elif name == "role" and value.lower() in DROP_ROLES and not (tag in FORMS and value.lower() == "form"):
             return True
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
@@ -190,6 +196,27 @@ def walk(root: Node) -> list[Node]:
     return out
 
 
+def settle(root: Node) -> None:
+    """Drops labels that hold a control, and forms but those in or around an article or with most of the page's text."""
+    nodes = walk(root)
+    if not any(x.tag in FORMS or x.tag == "label" for x in nodes):
+        return
+    inside, chars, holds = {id(root): False}, {}, {}
+    for x in nodes:
+        for y in x.children:
+            if not isinstance(y, str):
+                inside[id(y)] = inside[id(x)] or y.tag in ARTICLE_TAGS and not y.drop
+    for x in reversed(nodes):
+        below = [y for y in x.children if not isinstance(y, str) and not y.drop and y.tag != "head"]
+        chars[id(x)] = sum(len(_SPACE.sub("", y)) for y in x.children if isinstance(y, str)) + sum(chars[id(y)] for y in below)
+        holds[id(x)] = any(y.tag in ARTICLE_TAGS or holds[id(y)] for y in below)
+        if x.tag == "label":
+            x.drop = x.drop or any(not isinstance(y, str) and y.tag in CONTROLS for y in x.children)
+    for x in nodes:
+        if x.tag in FORMS:
+            x.drop = x.drop or not (inside[id(x)] or holds[id(x)] or 2 * chars[id(x)] > chars[id(root)])
+
+
 def weigh(root: Node) -> list[Node]:
     """Counts and densities of every node outside boilerplate, parents first."""
     nodes, todo = [], [root]
@@ -222,12 +249,14 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
-def main_node(root: Node) -> Node:
-    """The maximum-density-sum subtree, by the threshold of its path to the body; within the article if the page marks one."""
+def main_node(root: Node) -> tuple[Node, bool]:
+    """The maximum-density-sum subtree, by the threshold of its path to the body, and False; or the article that the page
+    marks, if it is one, and True."""
+    settle(root)
     nodes = weigh(root)
     marked = [x for x in nodes if x.tag == "article" and x.c]
     if len(marked) == 1:
-        return marked[0]
+        return marked[0], True
     bodies = [x for x in nodes if x.tag == "body" and x.c]
     body = bodies[0] if len(bodies) == 1 else root
     best = max(nodes, key=lambda x: x.total)
@@ -242,7 +271,7 @@ def main_node(root: Node) -> Node:
         x = x.parent
         if any(not isinstance(y, str) and y.density >= threshold and y.c and y not in path for y in x.children) or any(isinstance(y, str) and y.strip() for y in x.children):
             node = x
-    return node
+    return node, False
 
 
 def link_list(x: Node) -> bool:
@@ -250,8 +279,8 @@ def link_list(x: Node) -> bool:
     return x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.lt >= 2 and x.l > 0.7 * x.c
 
 
-def blocks(top: Node) -> list[str]:
-    """The text of top's blocks in page order."""
+def blocks(top: Node, marked: bool) -> list[str]:
+    """The text of top's blocks in page order; marked: the page says that top is the article."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -270,7 +299,7 @@ def blocks(top: Node) -> list[str]:
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x is not top and (x.drop or x.tag == "head" or link_list(x) or x.tag == "header" and not heading(x)):
+        if x is not top and (x.drop or x.tag == "head" or not marked and link_list(x) or x.tag == "header" and not heading(x)):
             if x.tag in BLOCK:
                 flush()
             continue
@@ -297,7 +326,7 @@ def extract(page: str | None) -> str:
     if not page or not page.strip():
         return ""
     root = parse(page)
-    return "\n\n".join(blocks(main_node(root)))
+    return "\n\n".join(blocks(*main_node(root)))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,3 +60,24 @@ def test_formulas_stay_and_what_is_not_shown_goes():
     math = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
     page = f"<article><p>{LONG} {math} holds.</p><object><object>a</object>b</object><p>{LONG}</p><video>no video</video><noscript>c</noscript><svg><desc>d</desc><path d='M0'/></svg><template><p>t</p></template><p>End.</p></article>"
     assert extract(page).split("\n\n") == [f"{PLAIN} x=2 holds.", PLAIN, "End."]
+
+
+def test_blocks_of_a_marked_article_stay():
+    links = "<a href=a>A first source of this</a> <a href=b>A second source of this</a>"
+    kept = "".join(f"<{t}>{links}</{t}>" for t in ("div", "section")) + f"<ul><li>{links}</li></ul><table><tr><td>{links}</td></tr></table>"
+    words = "".join(f'<div class="{w}">{w} text</div>' for w in ("toc", "legal", "copyright", "disclaimer", "search"))
+    page = f"<body><nav>{links}</nav><article><p>{LONG}</p>{kept}{words}<label>Named</label><div class=sidebar>{links}</div><nav>{links}</nav></article></body>"
+    source = "A first source of this A second source of this"
+    assert extract(page).split("\n\n") == [PLAIN, *[source] * 4, "toc text", "legal text", "copyright text", "disclaimer text", "search text", "Named"]
+
+
+def test_a_form_around_the_page_keeps_its_text():
+    inner = f"<label>Mail <input></label><select><option>o</select><textarea>t</textarea><button>Go</button><h1>Title</h1><p>{LONG}</p>"
+    for page in (
+        f'<body><form id="aspnetForm" role="form">{inner}</form></body>',
+        f'<body><form id="aspnetForm"><nav>n</nav><article>{inner}</article><footer>f</footer></form></body>',
+        f"<body><article><form>{inner}</form></article></body>",
+        f"<body><div>{inner}</div><form><fieldset><legend>Sign up</legend><input></fieldset></form></body>",
+    ):
+        assert extract(page).split("\n\n") == ["Title", PLAIN], page
+    assert extract(f"<body><article><p>{LONG}</p><form class=newsletter><p>Sign up</p></form></article></body>") == PLAIN
