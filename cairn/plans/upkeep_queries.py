@@ -67,6 +67,24 @@ def referenced_containers(t: Tables):
     return sweep.referenced(t.shard_terms.where("shard % 700 = 0"), t.shard_chunks.where("shard % 900 = 0"))
 
 
+@query("U1 G7", "select container from @shard_terms union select container from @shard_chunks")
+def referenced_containers_all(t: Tables):
+    """Containers that any shard names."""
+    return sweep.referenced(t.shard_terms, t.shard_chunks)
+
+
+@query("J12 U1 G7", f"""with lef as (select shard from @shards where shard not in (select shard from ({_masked(_dead('both', False))}))),
+  c as (select container, size from @containers union all select -1 - container, size from @containers where container % 5 = 0)
+  select container, size from c where container not in (select container from @shard_terms where shard in (select shard from lef) union select container from @shard_chunks where shard in (select shard from lef))""")
+def dead_containers_all(t: Tables):
+    """Containers that no shard names which the sweep leaves; negative ones stand for containers that no shard ever named."""
+    shards, fi, si, _, sf, terms, k = _sweep_inputs(t)
+    left = shards.join(sweep.dead_shards(shards, fi, si, sf).select("shard"), "shard", "left_anti").select("shard")
+    live = sweep.referenced(terms.join(left, "shard", "left_semi"), t.shard_chunks.join(left, "shard", "left_semi"))
+    orphans = k.where("container % 5 = 0").withColumn("container", -1 - F.col("container"))
+    return sweep.dead_containers(k.unionByName(orphans), live).select("container", "size")
+
+
 @query("O7 G3", f"select shard, size from ({_masked(_dead('both', False))}) order by shard limit 20")
 def bounded_sweep(t: Tables):
     shards, fi, si, _, sf, _, _ = _sweep_inputs(t)
