@@ -159,6 +159,16 @@ def cached_locations(t: Tables):
     return dedup.resolve(asked, kept.where("bytes = 36"), ["endpoint", "chunk"]).select("endpoint", "chunk", "shard")
 
 
+@query("S26 K14 F29", """with k as (select 'e' || shard % 3 as endpoint, chunk, max(shard) as shard from @chunk_index group by all), a as (select chunk, 'e' || e as endpoint from @chunk_index cross join (values (0), (1), (2)) as v(e))
+  select endpoint, chunk, shard from a join k using (endpoint, chunk) where shard % 7 <> 0""")
+def cached_locations_all(t: Tables):
+    """Every endpoint is asked for every chunk of the index; rows of the wrong size are not believed."""
+    c = t.chunk_index.select(F.concat(F.lit("e"), (F.col("shard") % 3).cast("string")).alias("endpoint"), "chunk", "shard")
+    kept = c.groupBy("endpoint", "chunk").agg(F.max("shard").alias("shard")).withColumn("bytes", F.when(F.col("shard") % 7 == 0, 3).otherwise(36))
+    asked = t.chunk_index.select(F.explode(F.array(*[F.lit(f"e{e}") for e in range(3)])).alias("endpoint"), "chunk").distinct()
+    return dedup.resolve(asked, kept.where("bytes = 36"), ["endpoint", "chunk"]).select("endpoint", "chunk", "shard")
+
+
 @query("S18 S19", "select s.sha, coalesce(f.file, '') as file from @sha_index s left join (select shard, sha, min(file)::varchar as file from @shard_files where shard % 4 <> 0 group by all) f using (shard, sha)")
 def file_of_digest(t: Tables):
     f = t.shard_files.where("shard % 4 <> 0").groupBy("shard", "sha").agg(F.min("file").cast("string").alias("file"))

@@ -170,6 +170,23 @@ def keyed_lookup(t: Tables):
     return dedup.keyed_resolve(probes, dedup.unexpired(keys, F.lit(2)), stored, keyed)
 
 
+@query("J3 J21 F5 F27", """with k as (select shard, case when shard % 2 = 0 then 'k' || shard end as key, case when shard % 3 = 0 then null else shard % 5 end as expiry from @shards),
+  c as (select s.shard, chunk, container, idx, case when key is null then sha256(chunk::varchar) else sha256(key || sha256(chunk::varchar)) end as stored from @shard_chunks s join k using (shard)),
+  p as (select distinct shard, sha256(case when chunk % 7 = 3 then -chunk else chunk end::varchar) as chunk from @shard_chunks)
+  select p.shard, p.chunk, c.container, c.idx from p join k using (shard) join c on c.shard = p.shard and c.stored = case when key is null then p.chunk else sha256(key || p.chunk) end
+  where k.expiry is null or k.expiry > 2""")
+def keyed_lookup_all(t: Tables):
+    """A probe for every chunk of every shard; one in seven is for a chunk that is not there."""
+    sha = lambda c: F.sha2(c.cast("string"), 256)
+    keyed = lambda c, k: F.sha2(F.concat(k, c), 256)
+    i, c = F.col("shard"), F.col("chunk")
+    keys = t.shards.select("shard", F.when(i % 2 == 0, F.concat(F.lit("k"), i.cast("string"))).alias("key"), F.when(i % 3 != 0, i % 5).alias("expiry"))
+    sc = t.shard_chunks
+    stored = sc.join(keys, "shard").select("shard", F.when(F.col("key").isNull(), sha(c)).otherwise(keyed(sha(c), F.col("key"))).alias("stored"), "container", "idx")
+    probes = sc.select("shard", sha(F.when(c % 7 == 3, -c).otherwise(c)).alias("chunk")).distinct()
+    return dedup.keyed_resolve(probes, dedup.unexpired(keys, F.lit(2)), stored, keyed)
+
+
 @query("J4", "select distinct chunk from @chunks where chunk not in (select chunk from @chunk_index)")
 def new_chunks(t: Tables):
     return dedup.new_chunks(t.chunks.select("chunk").distinct(), t.chunk_index)

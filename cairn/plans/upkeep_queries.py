@@ -246,6 +246,16 @@ def differing_blocks(t: Tables):
     return validate.differing_blocks(d, k)
 
 
+@query("V3", """with d as (select container, case when idx % 40 = 5 then idx + 100000 else idx end as idx, chunk + case when idx % 40 = 3 then 1 else 0 end as d_chunk, size + case when idx % 40 = 9 then 1 else 0 end as d_size from @container_chunks),
+  s as (select container, idx, chunk as s_chunk, size as s_size from @container_chunks)
+  select container, idx, d_chunk, d_size, s_chunk, s_size from d full join s using (container, idx) where d_chunk is distinct from s_chunk or d_size is distinct from s_size""")
+def differing_blocks_all(t: Tables):
+    """Every container; declared chunks differ by place, hash or size."""
+    k, i = t.container_chunks, F.col("idx") % 40
+    d = k.select("container", F.when(i == 5, F.col("idx") + 100000).otherwise(F.col("idx")).alias("idx"), (F.col("chunk") + F.when(i == 3, 1).otherwise(0)).alias("chunk"), (F.col("size") + F.when(i == 9, 1).otherwise(0)).alias("size"))
+    return validate.differing_blocks(d, k)
+
+
 @query("V4 V7 A7 F10 K16", """with c as (select doc_id // 5 as file, doc_id % 5 as seq, coalesce(text, '') as content from documents), f as (select file, sha256(string_agg(content, '' order by seq)) as sha from c group by file)
   select file, case when file % 4 = 0 then sha256('other') else sha end as sha, sha as actual from f where file % 4 = 0""")
 def rebuilt_digests(t: Tables):

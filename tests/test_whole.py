@@ -27,3 +27,12 @@ def test_containers_of_every_shard(spark):
     assert {r.container for r in q["referenced_containers_all"](spark, LARGE).collect()} == every
     dead = [r.container for r in q["dead_containers_all"](spark, LARGE).collect()]
     assert sorted(dead) == sorted(-1 - c for c in every if c % 5 == 0)
+
+
+def test_every_chunk_is_asked_and_every_container_compared(spark):
+    q, t = entry.queries(), Tables(spark, LARGE)
+    live = t.shards.where("shard % 3 = 0 or shard % 5 > 2").select("shard")
+    there = t.shard_chunks.join(live, "shard", "left_semi").where("chunk % 7 <> 3").select("shard", "chunk").distinct()
+    assert q["keyed_lookup_all"](spark, LARGE).select("shard", "chunk").distinct().count() == there.count()
+    assert q["cached_locations_all"](spark, LARGE).count() == t.chunk_index.where("shard % 7 <> 0").count()
+    assert q["differing_blocks_all"](spark, LARGE).select("container").distinct().count() == t.containers.count()
