@@ -41,7 +41,9 @@ _NEXT = rf"{IPV4}|{ISO_DATE}|{DAY_DATE}|{SSN}|{_LOCAL}|[0-9]{{4}}(?:[ \-][0-9]{{
 _NEXT_WHOLE = rf"{_NEXT}|(?:19|20)[0-9]{{2}}\b|[0-9]+[.,:/][0-9]"
 _SHUT = "|".join(rf"(?<=\([0-9]{{{n}}})\)[ .\-]?" for n in range(1, 6))
 _GROUP = r"[ .\-](?=[0-9]{2})"
-_HEAD = rf"{_GROUP}|[ .\-]?\((?=[0-9]{{1,5}}\))|{_SHUT}"
+#: After the country code one digit may be a group.
+_CODE = "|".join(rf"(?<=\+[0-9]{{{n}}})[ .\-]" for n in range(1, 4))
+_HEAD = rf"{_CODE}|{_GROUP}|[ .\-]?\((?=[0-9]{{1,5}}\))|{_SHUT}"
 #: At most 15 digits (E.164); +1 has ten after it.
 PHONE = (
     r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}\b"
@@ -51,8 +53,10 @@ PHONE = (
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b"
 NUMBER = rf"\b[0-9]{{4}}(?:[ \-]?[0-9]{{4}}){{2}}(?! (?:{_NEXT}))[ \-]?[0-9]{{1,7}}\b|\b[0-9]{{12,34}}\b"
 PATTERN = "|".join((EMAIL, IPV4, ISO_DATE, DAY_DATE, SSN, PHONE, IBAN, NUMBER, SECRET))
+#: Digits with single separators anywhere, of which no group begins another candidate: a card if the Luhn check says so.
+GROUPED = rf"\b(?=(?:[ \-]?[0-9]){{13}})(?!{PATTERN})[0-9]{{1,18}}(?:[ \-](?!{PATTERN})[0-9]{{1,18}}){{1,18}}\b"
 #: (?U): letters of any script are letters, so a local part in French is found whole.
-ANY = f"(?U){PATTERN}"
+ANY = f"(?U){PATTERN}|{GROUPED}"
 
 
 def _prf(key: Column, tweak: Column, i: Column, value: Column, size: Column) -> Column:
@@ -148,6 +152,37 @@ def number(s: Column, key: Column, back: bool = False) -> Column:
     return _once(only_digits(s), lambda d: refill(s, run(d)))
 
 
+def is_card(digits: Column) -> Column:
+    n = F.length(digits)
+    return n.between(13, 19) & (F.substring(digits, n, F.lit(1)) == check_digit(F.substring(digits, F.lit(1), n - 1)))
+
+
+def grouped(s: Column, key: Column) -> Column:
+    """The card that all groups spell, or the cards that runs of groups of three digits or more spell, leftmost and longest
+    first; null if there is none."""
+
+    def run(g: Column) -> Column:
+        k = F.size(g)
+
+        def longest(i: Column) -> Column:
+            joined = lambda n: F.array_join(F.slice(g, i + 1, n), "")
+            fits = lambda n: (F.forall(F.slice(g, i + 1, n), lambda x: F.length(only_digits(x)) >= 3)) & is_card(only_digits(joined(n)))
+            return F.coalesce(F.get(F.filter(F.sequence(k - i, F.lit(1), F.lit(-1)), fits), F.lit(0)), F.lit(0))
+
+        start = F.struct(F.lit("").alias("s"), F.lit(0).alias("skip"))
+
+        def step(a: Column, i: Column) -> Column:
+            new = lambda n: F.when(n > 0, F.struct(F.concat(a["s"], number(F.array_join(F.slice(g, i + 1, n), ""), key)).alias("s"), (i + n).alias("skip"))).otherwise(
+                F.struct(F.concat(a["s"], F.get(g, i)).alias("s"), a["skip"].alias("skip"))
+            )
+            return F.when(i < a["skip"], a).otherwise(_once(longest(i), new))
+
+        return F.aggregate(F.sequence(F.lit(0), k - 1), start, step, lambda a: a["s"])
+
+    some = _once(F.split(s, r"(?<=[ \-])"), run)
+    return F.when(is_card(only_digits(s)), number(s, key)).otherwise(F.nullif(some, s))
+
+
 def phone(s: Column, key: Column, back: bool = False) -> Column:
     code = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
     rest = lambda c: F.substring(s, F.length(c) + 1, F.length(s))
@@ -209,7 +244,7 @@ def whole(pattern: str) -> str:
 def kind_of(s: Column) -> Column:
     out = F.when(s.rlike(whole(EMAIL)), "email").when(s.rlike(whole(IPV4)), "ipv4").when(s.rlike(whole(ISO_DATE)), "iso_date")
     out = out.when(s.rlike(whole(DAY_DATE)) & s.contains("/"), "slash_date").when(s.rlike(whole(DAY_DATE)), "dot_date").when(s.rlike(whole(SSN)), "ssn")
-    return out.when(s.rlike(whole(PHONE)), "phone").when(s.rlike(whole(NUMBER)), "number").when(s.rlike(whole(IBAN)), "iban").otherwise("secret")
+    return out.when(s.rlike(whole(PHONE)), "phone").when(s.rlike(whole(NUMBER)), "number").when(s.rlike(whole(IBAN)), "iban").when(s.rlike(r"^[0-9]+(?:[ \-][0-9]+)+$"), "grouped").otherwise("secret")
 
 
 def pseudonym(s: Column, key: Column) -> Column:
@@ -218,8 +253,8 @@ def pseudonym(s: Column, key: Column) -> Column:
     def run(k: Column) -> Column:
         out = F.when(k == "email", email(s, key)).when(k == "ipv4", ipv4(s, key)).when(k == "iso_date", date(s, key, "yyyy-MM-dd"))
         out = out.when(k == "dot_date", date(s, key, "dd.MM.yyyy")).when(k == "slash_date", F.coalesce(date(s, key, "dd/MM/yyyy"), date(s, key, "MM/dd/yyyy")))
-        out = out.when(k == "ssn", plain(s, key, "ssn")).when(k == "phone", phone(s, key)).when(k == "number", number(s, key)).when(k == "iban", iban(s, key))
-        return F.struct(k.alias("kind"), out.otherwise(secret(s, key)).alias("value"))
+        out = out.when(k == "ssn", plain(s, key, "ssn")).when(k == "phone", phone(s, key)).when(k == "number", number(s, key)).when(k == "iban", iban(s, key)).when(k == "grouped", grouped(s, key))
+        return F.struct(F.when(k == "grouped", "number").otherwise(k).alias("kind"), out.otherwise(secret(s, key)).alias("value"))
 
     return _once(kind_of(s), run)
 

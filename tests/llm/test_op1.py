@@ -133,3 +133,13 @@ def test_what_follows_a_phone_is_not_of_it(spark):
     alone = [r.text for r in run(spark, phones)]
     for after in (" 2024", " 3.14", " 12:30", ", 17", " (see 12)"):
         assert [r.text for r in run(spark, [v + after for v in phones])] == [t + after for t in alone], after
+
+
+def test_cards_and_phones_in_any_groups(spark):
+    cards = ["3782 822463 10005", "3714-496353-98431", "3056 930902 5904", "411111 1111111111", "41 11 11 11 11 11 11 11"]
+    for v, r in zip(cards, run(spark, cards), strict=True):
+        assert r.text == number(v) and [p.kind for p in r.found] == ["number"], r
+    a, b, c, d = run(spark, ["12 3782 822463 10005 2024-05-06", "3782 822463 10005 3714 496353 98431", "3782 822463 10006", "+33 6 12 34 56 78"])
+    assert a.text.startswith(f"12 {number(cards[0])} ") and [p.kind for p in a.found] == ["number", "iso_date"]
+    assert b.text == f"{number(cards[0])} {number('3714 496353 98431')}" and c.text == "3782 822463 10006" and not c.found
+    assert [p.kind for p in d.found] == ["phone"] and re.fullmatch(r"\+33 [0-9]( [0-9]{2}){4}", d.text) and d.text != "+33 6 12 34 56 78"
