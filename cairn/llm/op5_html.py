@@ -3,20 +3,23 @@
 A page is parsed into a tree (tags that HTML lets authors leave open are closed, scripts, styles and comments go). Every
 node gets its number of characters, of characters in links, of tags and of tags of links below it; its composite density is
 
-    c / t * log(c / l' * t / l_t') to the base ln(l * c / (c - l) + body ratio * c + e)
-
-with c characters, l link characters, t tags, l_t link tags: characters per tag, adjusted for links (Sun, Song and Liao,
-2011). A node's density sum adds its children's densities. The threshold is the least density on the path from the node of
-the largest density sum up to the body; the extraction takes the maximum-sum subtree among nodes at or above it. Inside
-that subtree, menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by tag, role, class or id)
-go; all other text stays, in page order. A page that marks one article takes the search to that article; in others, link
-lists go too. Of a form in or around an article, or with most of the page's text, only the controls go.
+    c / t * log(c / l * t / l_t) to the base ln(l * c / (c - l) + body ratio * c + e)
+
+with c characters, l link characters, t tags, l_t link tags (each at least 1): characters per tag, adjusted for links (Sun,
+Song and Liao, 2011). A node's density sum adds its children's densities. The threshold is the least density on the path
+from the node of the largest density sum up to the body. Where that node lies in an article element, the extraction takes
+the whole outermost such element; else, in the main element or the body around it, it takes in page order the maximum-sum
+subtree of every node whose density reaches the threshold (where that is a single block of text, with the blocks of text
+beside it). What the page names as menus, headers, footers, sidebars, notices,
+adverts, forms or reader comments (by tag, role, class or id) counts in the densities but is never chosen and goes from
+inside what is chosen; so does a list of links ahead of all dense text. All other text of the chosen subtrees stays. Of a form
+in or around an article, or with most of the page's text, only the controls go.
 
 Blocks are what block-level tags delimit. White space inside a block is one space; blocks are joined by an empty line.
 
 Defined results: null, empty and textless pages give an empty text. Broken markup never fails: what does not parse as a tag
-is text. Repeated rows are extracted each; extra columns are ignored. Every page is handled by itself, whole, in memory in
-proportion to its size; nesting depth is not bounded by the stack.
+is text, and a quote that never closes is an ordinary character. Repeated rows are extracted each; extra columns are ignored.
+Every page is handled by itself, whole, in time and memory in proportion to its size, whatever its tags and their nesting.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +47,7 @@ BLOCK = frozenset(
 #: A start tag in the key's set closes an open element of the key, if no element of BARRIER is between.
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption li dd dt legend summary figcaption".split()) | {"li", "dd", "dt"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
+P_SCOPE = ("table", "td", "th", "button", "caption", "object")
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
 # What is not the article, by tag, by role, and by words of class and id.
@@ -60,6 +65,8 @@ DROP_WORDS = frozenset(
     " cookie cookies consent gdpr notice notices popup modal overlay paywall alert"
     " share sharing social newsletter subscribe subscription signup login form skip".split()
 )
+#: Blocks of an article's text, of which one alone is not yet the article.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: Of these tags a class says less: a page's body may well be of class "has-sidebar".
 ROOT_TAGS = frozenset("html body".split())
 ARTICLE_TAGS = frozenset("main article".split())
@@ -67,7 +74,10 @@ ARTICLE_DROP = frozenset("comment comments reply replies ad ads advert advertise
 #: A header is the page's own if it is called no more than that or by one of these words; else it may hold the headline.
 PAGE_HEADER = frozenset("header site page main top global".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+#: What opens markup: a comment, a character data section, a declaration or a tag's name.
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|[!?]|(/?)([a-zA-Z][^\s/>]*+))", re.S)
+#: From a tag's name on: up to its end, to a quote that never closes, or to the end of the page.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.S)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -75,12 +85,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "hidden", "c", "l", "t", "lt", "density", "total")
+    __slots__ = ("tag", "parent", "children", "drop", "out", "c", "l", "t", "lt", "density", "total", "top", "holds", "inside")
 
     def __init__(self, tag, parent, drop=False):
         self.tag, self.parent, self.children, self.drop = tag, parent, [], drop
+        self.out = self.holds = self.inside = False
         self.c = self.l = self.t = self.lt = 0
         self.density = self.total = 0.0
+        self.top = self
 
 
 def boilerplate(tag: str, attrs: str) -> bool:
@@ -106,172 +118,242 @@ def boilerplate(tag: str, attrs: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?=\s|/|$)", _ATTR.sub(" ", attrs)))
 
 
+class Stack:
+    """The open elements, with the depths at which each tag is open."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.depths = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """Leaves the element at depth and all that is open in it."""
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().tag].pop()
+
+    def last(self, tag: str) -> int:
+        """The depth of the innermost open element of the tag; 0 if there is none."""
+        at = self.depths.get(tag)
+        return at[-1] if at else 0
+
+    def outermost(self, tags, stop) -> int:
+        """The depth of the outermost open element with a tag in tags, below the nearest of stop; 0 if there is none."""
+        floor = max(map(self.last, stop))
+        found = [at[i] for t in tags if (at := self.depths.get(t)) and (i := bisect_right(at, floor)) < len(at)]
+        return min(found, default=0)
+
+
+def tag_end(page: str, at: int) -> tuple[int, str]:
+    """Where the tag whose name ends at ``at`` ends, and its attributes; -1 if it does not end."""
+    i = at
+    while True:
+        i = _REST.match(page, i).end()
+        if i >= len(page):
+            return -1, ""
+        if page[i] == ">":
+            return i + 1, page[at:i]
+        i += 1  # the equals sign before a quote that never closes: read on behind it
+        while page[i].isspace():
+            i += 1
+        i += 1
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings, with character references decoded."""
-    root = here = Node("#root", None)
-    open_tags = {"p": 0}
-    at, n = 0, len(page)
+    root = Node("#root", None)
+    stack = Stack(root)
+    at, n, plain = 0, len(page), False
+    endless: set[str] = set()
 
     def text(s: str) -> None:
         if s:
-            here.children.append(html.unescape(s) if "&" in s else s)
-
-    def close(node: Node) -> Node:
-        """Leaves node and all that is open in it."""
-        x = here
-        while True:
-            open_tags[x.tag] -= 1
-            if x is node:
-                return x.parent
-            x = x.parent
-
-    def within(tags, stop) -> Node | None:
-        """The outermost open element with a tag in tags, below the nearest of stop."""
-        x, found = here, None
-        while x.parent is not None and x.tag not in stop:
-            if x.tag in tags:
-                found = x
-            x = x.parent
-        return found
+            stack.nodes[-1].children.append(html.unescape(s) if "&" in s else s)
+
+    def past(mark: str, start: int) -> int:
+        end = page.find(mark, start)
+        return n if end < 0 else end + len(mark)
 
     while at < n:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if not m:
             text(page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if m[4] is None:
+            at = past("-->" if m[1] else "]]>" if m[2] else ">", m.end())
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if open_tags.get(tag):
-                x = here
-                while x.tag != tag:
-                    x = x.parent
-                here = close(x)
-                x.drop = x.drop or tag in HIDE
+        at, attrs = (-1, "") if plain else tag_end(page, m.end())
+        if at < 0:
+            # No end that respects quotes, here or later: from now on a tag ends at the next sign.
+            plain = True
+            end = page.find(">", m.end())
+            if end < 0:
+                text(page[m.start() :])
+                break
+            at, attrs = end + 1, page[m.end() : end]
+        tag = m[4].lower()
+        if m[3]:
+            if depth := stack.last(tag):
+                node = stack.nodes[depth]
+                node.drop = node.drop or tag in HIDE
+                stack.close(depth)
             elif tag == "br":
-                here.children.append(" ")
+                stack.nodes[-1].children.append(" ")
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not attrs.rstrip().endswith("/"):
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+                if not end:
+                    endless.add(tag)
                 at = end.end() if end else n if tag in CODE else at
             continue
-        if tag in ("html", "head", "body") and open_tags.get(tag):
+        if tag in ("html", "head", "body") and stack.last(tag):
             continue
-        if tag == "body" and open_tags.get("head"):
-            x = here
-            while x.tag != "head":
-                x = x.parent
-            here = close(x)
-        if tag in CLOSES_P and open_tags["p"]:
-            x = within({"p"}, {"table", "td", "th", "button", "caption", "object"})
-            if x:
-                here = close(x)
-        if tag in SIBLINGS:
-            x = within(SIBLINGS[tag], SCOPE[tag])
-            if x:
-                here = close(x)
+        if tag == "body" and (depth := stack.last("head")):
+            stack.close(depth)
+        if tag in CLOSES_P and stack.last("p") and (depth := stack.outermost(("p",), P_SCOPE)):
+            stack.close(depth)
+        if tag in SIBLINGS and (depth := stack.outermost(SIBLINGS[tag], SCOPE[tag])):
+            stack.close(depth)
+        here = stack.nodes[-1]
         if tag in VOID:
             here.children.append(Node(tag, here))
             continue
-        node = Node(tag, here, boilerplate(tag, m[3]))
+        node = Node(tag, here, boilerplate(tag, attrs))
         here.children.append(node)
-        if m[3].endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "span"):
-            continue
-        open_tags[tag] = open_tags.get(tag, 0) + 1
-        here = node
+        if not (attrs.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "span")):
+            stack.push(node)
     return root
 
 
+def below(x: Node) -> list[Node]:
+    return [y for y in x.children if not isinstance(y, str)]
+
+
 def walk(root: Node) -> list[Node]:
     """All nodes, parents first."""
     out, todo = [], [root]
     while todo:
         x = todo.pop()
         out.append(x)
-        todo.extend(y for y in reversed(x.children) if not isinstance(y, str))
+        todo.extend(reversed(below(x)))
     return out
 
 
-def settle(root: Node) -> None:
+def settle(nodes: list[Node]) -> None:
     """Drops labels that hold a control, and forms but those in or around an article or with most of the page's text."""
-    nodes = walk(root)
     if not any(x.tag in FORMS or x.tag == "label" for x in nodes):
         return
-    inside, chars, holds = {id(root): False}, {}, {}
+    inside, chars, holds = {id(nodes[0]): False}, {}, {}
     for x in nodes:
-        for y in x.children:
-            if not isinstance(y, str):
-                inside[id(y)] = inside[id(x)] or y.tag in ARTICLE_TAGS and not y.drop
+        for y in below(x):
+            inside[id(y)] = inside[id(x)] or y.tag in ARTICLE_TAGS and not y.drop
     for x in reversed(nodes):
-        below = [y for y in x.children if not isinstance(y, str) and not y.drop and y.tag != "head"]
-        chars[id(x)] = sum(len(_SPACE.sub("", y)) for y in x.children if isinstance(y, str)) + sum(chars[id(y)] for y in below)
-        holds[id(x)] = any(y.tag in ARTICLE_TAGS or holds[id(y)] for y in below)
+        parts = [y for y in below(x) if not y.drop and y.tag != "head"]
+        chars[id(x)] = sum(len(_SPACE.sub("", y)) for y in x.children if isinstance(y, str)) + sum(chars[id(y)] for y in parts)
+        holds[id(x)] = any(y.tag in ARTICLE_TAGS or holds[id(y)] for y in parts)
         if x.tag == "label":
-            x.drop = x.drop or any(not isinstance(y, str) and y.tag in CONTROLS for y in x.children)
+            x.drop = x.drop or any(y.tag in CONTROLS for y in below(x))
     for x in nodes:
         if x.tag in FORMS:
-            x.drop = x.drop or not (inside[id(x)] or holds[id(x)] or 2 * chars[id(x)] > chars[id(root)])
+            x.drop = x.drop or not (inside[id(x)] or holds[id(x)] or 2 * chars[id(x)] > chars[id(nodes[0])])
 
 
-def weigh(root: Node) -> list[Node]:
-    """Counts and densities of every node outside boilerplate, parents first."""
-    nodes, todo = [], [root]
-    while todo:
-        x = todo.pop()
-        nodes.append(x)
-        todo.extend(y for y in reversed(x.children) if not isinstance(y, str) and not y.drop and y.tag != "head")
+def density(c: int, l: int, t: int, lt: int, ratio: float) -> float:  # noqa: E741
+    """Composite text density of a node; ratio: the share of link characters in the body."""
+    if not c:
+        return 0.0
+    t, lt, links = max(t, 1), max(lt, 1), max(l, 1)
+    base = math.log(links * c / max(c - links, 1) + ratio * c + math.e)
+    return c / t * math.log(max(c / links * t / lt, 1.0)) / math.log(base)
+
+
+def weigh(nodes: list[Node]) -> None:
+    """Counts, densities and density sums of all nodes (parents first); marks what boilerplate holds (out) and what holds or
+    lies in articles, and finds the node of the largest sum (top) of each subtree outside boilerplate."""
+    for x in nodes:
+        x.out = x.out or x.drop or x.tag == "head" or x.tag == "header" and not x.inside
+        for y in below(x):
+            y.out = x.out
+            y.inside = x.inside or x.tag in ARTICLE_TAGS
     for x in reversed(nodes):
         for y in x.children:
             if isinstance(y, str):
                 x.c += len(_SPACE.sub("", y))
-            elif not y.drop and y.tag != "head":
-                x.c += y.c
-                x.l += y.l
-                x.t += y.t + 1
-                x.lt += y.lt + (y.tag == "a")
-        if x.tag == "a":
-            x.l = x.c
-    whole = nodes[0]
-    ratio = whole.l / max(whole.c, 1)
-    for x in nodes:
-        if not x.c:
-            continue
-        t, lt, plain = max(x.t, 1), max(x.lt, 1), max(x.c - x.l, 1)
-        base = math.log(x.c / plain * x.l + ratio * x.c + math.e)
-        adjusted = x.c / max(x.l, 1) * t / lt
-        x.density = x.c / t * math.log(max(adjusted, 1.0)) / math.log(max(base, 1.0) + 1)
-    for x in nodes:
-        x.total = sum(y.density for y in x.children if not isinstance(y, str))
-    return nodes
-
-
-def main_node(root: Node) -> tuple[Node, bool]:
-    """The maximum-density-sum subtree, by the threshold of its path to the body, and False; or the article that the page
-    marks, if it is one, and True."""
-    settle(root)
-    nodes = weigh(root)
-    marked = [x for x in nodes if x.tag == "article" and x.c]
-    if len(marked) == 1:
-        return marked[0], True
+            elif y.tag != "head":
+                x.c, x.l, x.t, x.lt = x.c + y.c, x.l + y.l, x.t + y.t + 1, x.lt + y.lt + (y.tag == "a")
+                x.holds = x.holds or y.holds
+        x.l = x.c if x.tag == "a" else x.l
+        x.holds = x.holds or x.tag in ("h1", "h2")
+    ratio = nodes[0].l / max(nodes[0].c, 1)
+    for x in reversed(nodes):
+        x.density = density(x.c, x.l, x.t, x.lt, ratio)
+        inner = [y for y in below(x) if not y.out]
+        # A node without children is its own sum.
+        x.total = sum(y.density for y in inner) if inner else x.density
+        for y in inner:
+            if y.top.total > x.top.total:
+                x.top = y.top
+
+
+def chosen(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the article, in page order, and the threshold."""
+    nodes = walk(root)
+    settle(nodes)
+    weigh(nodes)
     bodies = [x for x in nodes if x.tag == "body" and x.c]
-    body = bodies[0] if len(bodies) == 1 else root
-    best = max(nodes, key=lambda x: x.total)
-    path, x = [], best
-    while x is not None and x is not body:
-        path.append(x)
-        x = x.parent
-    threshold = min([y.density for y in [*path, body]])
-    # The subtree that holds all that is dense: from the best node up, as long as that adds text at or above the threshold.
-    node, x = best, best
-    while x is not body and x.parent is not None:
+    scope = bodies[0] if len(bodies) == 1 else root
+    best = scope.top
+    if best.out or not best.c:
+        return [], 0.0
+    path = [best]
+    while path[-1] is not scope:
+        path.append(path[-1].parent)
+    threshold = min(x.density for x in path)
+    for tag in ("article", "main"):
+        if marked := [x for x in path if x.tag == tag]:
+            scope = marked[-1]
+            break
+    if scope.tag == "article":
+        return [scope], threshold
+    picked: dict[int, Node] = {}
+    seen: set = set()
+    todo = [scope]
+    while todo:
+        x = todo.pop()
+        if x.out or id(x) in picked:
+            continue
+        if x.density >= threshold and x.top.c and id(x.top) not in seen:
+            seen.add(id(x.top))
+            for y in companions(x.top, scope, seen):
+                picked[id(y)] = y
+        if id(x) not in picked:
+            todo.extend(below(x))
+    return covering(scope, picked), threshold
+
+
+def companions(x: Node, scope: Node, seen: set) -> list[Node]:
+    """x, or where it is a block of running text or less, that block and the blocks of text beside it (once for a parent)."""
+    while x.tag not in BLOCK and x is not scope:
         x = x.parent
-        if any(not isinstance(y, str) and y.density >= threshold and y.c and y not in path for y in x.children) or any(isinstance(y, str) and y.strip() for y in x.children):
-            node = x
-    return node, False
+    if x.tag not in RUNNING or x is scope or ("beside", id(x.parent)) in seen:
+        return [x]
+    seen.add(("beside", id(x.parent)))
+    return [y for y in below(x.parent) if y is x or y.tag in RUNNING and y.c and not y.out and y.l <= 0.7 * y.c]
+
+
+def covering(scope: Node, picked: dict[int, Node]) -> list[Node]:
+    """The picked nodes that lie in no other one, in page order."""
+    out, todo = [], [scope]
+    while todo:
+        x = todo.pop()
+        if id(x) in picked:
+            out.append(x)
+        else:
+            todo.extend(reversed(below(x)))
+    return out
 
 
 def link_list(x: Node) -> bool:
@@ -279,10 +361,11 @@ def link_list(x: Node) -> bool:
     return x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.lt >= 2 and x.l > 0.7 * x.c
 
 
-def blocks(top: Node, marked: bool) -> list[str]:
-    """The text of top's blocks in page order; marked: the page says that top is the article."""
+def blocks(tops: list[Node], threshold: float) -> list[str]:
+    """The text of the subtrees' blocks in page order."""
     out: list[str] = []
     parts: list[str] = []
+    begun = any(x.tag == "article" for x in tops)
 
     def flush() -> None:
         s = _SPACE.sub(" ", "".join(parts)).strip()
@@ -290,7 +373,7 @@ def blocks(top: Node, marked: bool) -> list[str]:
             out.append(s)
         parts.clear()
 
-    todo: list = [(top, False)]
+    todo: list = [(x, False) for x in reversed(tops)]
     while todo:
         x, end = todo.pop()
         if end:
@@ -299,7 +382,9 @@ def blocks(top: Node, marked: bool) -> list[str]:
         if isinstance(x, str):
             parts.append(x)
             continue
-        if x is not top and (x.drop or x.tag == "head" or not marked and link_list(x) or x.tag == "header" and not heading(x)):
+        # What comes before all dense text and is little but links is a menu.
+        begun = begun or x.tag == "p" and x.density >= threshold and not link_list(x)
+        if x.drop or x.tag == "head" or not begun and link_list(x) or x.tag == "header" and not (x.inside and x.holds):
             if x.tag in BLOCK:
                 flush()
             continue
@@ -314,19 +399,10 @@ def blocks(top: Node, marked: bool) -> list[str]:
     return out
 
 
-def heading(x: Node) -> bool:
-    """Whether a header holds the headline of an article."""
-    y = x.parent
-    while y is not None and y.tag not in ("article", "main"):
-        y = y.parent
-    return y is not None and any(z.tag in ("h1", "h2") for z in walk(x))
-
-
 def extract(page: str | None) -> str:
     if not page or not page.strip():
         return ""
-    root = parse(page)
-    return "\n\n".join(blocks(*main_node(root)))
+    return "\n\n".join(blocks(*chosen(parse(page))))
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
