@@ -24,11 +24,15 @@ def count_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of
+    its own (tests); a cluster must name one, since its executors do not see the driver's folders."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+
         path = tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,14 +45,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).deleteOnExit(folder)  # at the latest when the driver ends
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts(spark: SparkSession) -> None:
-    """Deletes what cut() wrote; call it once the results that read those tables are stored."""
+def written() -> list[str]:
+    """The folders that cut() wrote and that are still there, oldest first."""
+    return list(_written)
+
+
+def drop_cuts(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes what cut() wrote (all, or these of written()); call it once the results that read those tables are stored."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for x in _written[:] if paths is None else paths:
+        path = jvm.org.apache.hadoop.fs.Path(x)
         path.getFileSystem(conf).delete(path, True)
+        _written.remove(x)

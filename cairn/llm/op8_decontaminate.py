@@ -8,7 +8,9 @@ memory is bounded by a block's tables and one Arrow batch.
 
 Defined results: a null text has no words and no hits. Items without a word and items with a null id or text give no
 window; rows with the same item id form one item for counting. Repeated documents are searched each. Empty tables give
-no rows or no hits.
+no rows or no hits. Extra columns of documents of any name go through unchanged; those of the benchmark are ignored.
+
+A benchmark of k blocks makes k passes over the words of a text, all within one task, without a shuffle between them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 10
@@ -35,7 +38,7 @@ def words(text: bytes | None) -> list[bytes]:
 class Tables:
     """Shift tables and buckets of patterns, by pattern length. patterns: words -> ids of the items that have them."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, patterns: dict[tuple[bytes, ...], dict[str, None]]):
         self.groups = []
         for m in sorted({len(p) for p in patterns}):
             size = min(2, m)
@@ -50,7 +53,7 @@ class Tables:
                 buckets.setdefault(p[m - size :], {}).setdefault(p[:size], []).append((p, items))
             self.groups.append((m, size, shift, buckets))
 
-    def find(self, w: list[bytes]) -> list[tuple[int, int, list[str]]]:
+    def find(self, w: list[bytes]) -> list[tuple[int, int, dict[str, None]]]:
         """(start, end, items) of every occurrence of a pattern in w."""
         found = []
         for m, size, shift, buckets in self.groups:
@@ -70,14 +73,13 @@ class Tables:
 
 
 def pattern_blocks(benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> Iterator[dict]:
-    """The benchmark's windows, at most about max_windows at a time; the rows come to the driver partition by partition."""
-    block: dict[tuple[bytes, ...], list[str]] = {}
+    """The benchmark's windows with the ids of their items, at most about max_windows at a time; the rows come to the driver
+    partition by partition."""
+    block: dict[tuple[bytes, ...], dict[str, None]] = {}
     for item, text in benchmark.select(benchmark["item_id"].cast("string"), "text").toLocalIterator():
         w = words(text.encode()) if text and item is not None else []
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            items = block.setdefault(tuple(w[i : i + window]), [])
-            if item not in items:
-                items.append(item)
+            block.setdefault(tuple(w[i : i + window]), {})[item] = None
         if len(block) >= max_windows:
             yield block
             block = {}
@@ -98,20 +100,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS, ITEMS = "__spans", "__items"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with n_words, __spans (merged hit spans of words, flat) and __items (sorted ids of the items that occur)."""
+def found_in(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """row (all columns of docs), text, n_words, spans (merged hit spans of words, flat), items (sorted ids that occur)."""
     spark = docs.sparkSession
-    fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField(SPANS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType()))]
+    # The columns of docs travel in one struct, so none of their names can clash with those made here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    made = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*rows.schema.fields, *made])
 
-    def search(rows: DataFrame, block: dict, first: bool) -> DataFrame:
-        return rows.mapInArrow(searcher(spark.sparkContext.broadcast(block), docs.columns, first), T.StructType(fields))
+    def search(x: DataFrame, block: dict, first: bool) -> DataFrame:
+        return x.mapInArrow(searcher(spark.sparkContext.broadcast(block), first), schema)
 
-    out, first = docs, True
+    out, first = rows, True
     for block in pattern_blocks(benchmark, window, max_windows):  # one block on the driver at a time
         out, first = search(out, block, first), False
     return search(out, {}, True) if first else out
 
 
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """docs with n_words, __spans and __items (see found_in); columns of docs with these names are replaced."""
+    keep = [f"row.`{c}`" for c in docs.columns if c not in ("n_words", SPANS, ITEMS)]
+    return found_in(docs, benchmark, window, max_windows).select(*keep, "n_words", F.col("spans").alias(SPANS), F.col("items").alias(ITEMS))
+
+
 _built: list = [None, None]
 
 
@@ -122,12 +133,12 @@ def built(block: dict) -> Tables:
     return _built[1]
 
 
-def searcher(shared, columns: list[str], first: bool):
+def searcher(shared, first: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = built(shared.value)
         for batch in batches:
-            texts = batch.column(columns.index("text")).cast(pa.binary())
-            old = [None] * batch.num_rows if first else list(zip(batch.column(len(columns) + 1).to_pylist(), batch.column(len(columns) + 2).to_pylist(), strict=True))
+            texts = batch.column("text").cast(pa.binary())
+            old = [None] * batch.num_rows if first else list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True))
             count, spans, items = [], [], []
             for text, before in zip(texts, old, strict=True):
                 w = words(text.as_py())
@@ -140,27 +151,23 @@ def searcher(shared, columns: list[str], first: bool):
                 spans.append([x for pair in merged(pairs) for x in pair])
                 items.append(sorted(ids, key=str.encode))
             new = [pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], names=[*columns, "n_words", SPANS, ITEMS])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *new], names=["row", "text", "n_words", "spans", "items"])
 
     return search
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    from pyspark.sql import functions as F
-
-    x = scan(docs.select("doc_id", "text"), benchmark)
-    hit = F.aggregate(F.col(SPANS), F.lit(0).cast("long"), lambda a, v: v - a)
+    x = found_in(docs.select("doc_id", "text"), benchmark)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, v: v - a)
     # Spans are flat (lo, hi, lo, hi, ...): the alternating sum is the number of words in them.
-    x = x.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"), F.sha2(F.array_join(ITEMS, ","), 256).alias("items_sha256"))
+    x = x.select("row.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return x.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean_docs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs, with the columns of docs."""
-    from pyspark.sql import functions as F
-
-    return scan(docs, benchmark).where(F.size(SPANS) == 0).select(*docs.columns)
+    return found_in(docs, benchmark).where(F.size("spans") == 0).select("row.*")
 
 
 def sha(items: list[str]) -> str:

@@ -6,7 +6,8 @@ rule of a policy rejects by itself, so that no text is read again when a policy
 
 Defined results: a null text counts as empty (no words, no lines, no symbols; it fails ``few_words``). Repeated rows
 stay repeated. An empty table gives an empty ledger. Columns of the input other than the text are kept as they are;
-an input column named like a measurement is replaced by the measurement.
+an input column named like a measurement is replaced by the measurement, and one named failed_bits, policy or kept by the
+ledger's or the policy's.
 
 The three words of a window are compared through a 64-bit hash within one text only: two different windows of a text of
 n words collide with probability below n*n / 2**65.
@@ -21,7 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import WS, words_of
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_bullet_lines", "n_ellipsis_lines")
+
+#: A word without a letter.
+LETTERLESS = rf"(?<![^{WS}])[^\p{{L}}{WS}]++(?![^{WS}])"
+#: A line that begins with a bullet, and one that ends in an ellipsis.
+BULLET = rf"^[{WS}]*[\x{{2022}}\x{{2023}}\x{{25CF}}\x{{25E6}}*\-]"
+ELLIPSIS = rf"(?:\.\.\.|\x{{2026}})[{WS}]*\z"
 
 
 @dataclass(frozen=True)
@@ -41,12 +48,16 @@ RULES = (
     Rule(3, "short_words", "word_chars < 2 * n_words"),
     Rule(4, "long_words", "word_chars > 15 * n_words"),
     Rule(5, "repeated_lines", "n_lines >= 10 and 2 * n_dup_lines > n_lines"),
+    Rule(6, "few_letters", "10 * n_alpha_words < 8 * n_words"),
+    Rule(7, "bullets", "n_lines >= 3 and 10 * n_bullet_lines > 9 * n_lines"),
+    Rule(8, "ellipses", "n_lines >= 3 and 10 * n_ellipsis_lines > 3 * n_lines"),
 )
 
 #: Versioned policies: the names of the rules that reject.
 POLICIES = {
     "v1": ("few_words", "repeated_windows"),
     "v2": ("few_words", "repeated_windows", "symbols", "short_words", "long_words", "repeated_lines"),
+    "v3": ("few_words", "repeated_windows", "symbols", "short_words", "long_words", "repeated_lines", "few_letters", "bullets", "ellipses"),
 }
 
 
@@ -56,32 +67,38 @@ def mask_of(policy: str) -> int:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with the measurements; intermediate arrays live in separate projections so each is made once."""
-    rest = [docs[c] for c in docs.columns if c != text and c not in MEASURES]
-    names = [c for c in docs.columns if c != text and c not in MEASURES]
+    rest = [c for c in docs.columns if c != text and c not in MEASURES]
+    # The other columns travel in one struct, so none of their names can clash with those made here.
+    row = F.struct(*[docs[c] for c in rest]) if rest else F.lit(None).cast("string")
     t = F.coalesce(docs[text], F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WS}]"))
     a = docs.select(
-        *rest,
-        words_of(docs[text]).alias("__w"),
-        lines.alias("__l"),
+        row.alias("row"),
+        words_of(docs[text]).alias("w"),
+        lines.alias("l"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]++", "")).cast("long").alias("n_symbols"),
+        F.regexp_count(t, F.lit(LETTERLESS)).alias("letterless"),
     )
-    n = F.size("__w")
-    window = lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
+    n = F.size("w")
+    window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
+    count = lambda a, of: F.size(F.filter(a, of)).cast("long")
     b = a.select(
-        *names,
+        "row",
         "n_symbols",
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        F.size("__l").cast("long").alias("n_lines"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).alias("__h"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (n - F.col("letterless")).cast("long").alias("n_alpha_words"),
+        F.size("l").cast("long").alias("n_lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        count("l", lambda x: x.rlike(BULLET)).alias("n_bullet_lines"),
+        count("l", lambda x: x.rlike(ELLIPSIS)).alias("n_ellipsis_lines"),
+        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), window)).alias("h"),
     )
     # Only texts in which some window repeats are sorted.
-    pairs = F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    c = b.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), pairs)).drop("__h")
-    twin = lambda x, i: (F.get("__s", i - 1)["h"] == x["h"]) | (F.get("__s", i + 1)["h"] == x["h"])
-    at = F.sort_array(F.transform(F.filter("__s", lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x["i"]))
+    pairs = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    c = b.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs)).drop("h")
+    twin = lambda x, i: (F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"])
+    at = F.sort_array(F.transform(F.filter("s", lambda x, i: F.coalesce(twin(x, i), F.lit(False))), lambda x: x["i"]))
     covered = F.aggregate(
         at,
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
@@ -91,7 +108,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     # least(id, 0) is 0, but not to the optimizer: a filter on the measurements stays above them. Pushed below, it would be
     # rewritten in terms of the text, and the arrays would be made again for each of their elements.
     fixed = F.least(F.monotonically_increasing_id(), F.lit(0))
-    return c.select(*names, *MEASURES[:-1], (F.coalesce(covered, F.lit(0)) + fixed).cast("long").alias("n_repeat_words"))
+    repeats = (F.coalesce(covered, F.lit(0)) + fixed).cast("long").alias("n_repeat_words")
+    return c.select(*[F.col("row")[x].alias(x) for x in rest], *[repeats if m == "n_repeat_words" else F.col(m) for m in MEASURES])
 
 
 def bits() -> Column:
@@ -130,6 +148,5 @@ def ablations(led: DataFrame, policy: str = "v2") -> DataFrame:
 
 def filter_docs(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
     """The rows of docs that the policy keeps, with the columns of docs."""
-    whole = docs.select(docs[text], F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    led = measure(whole, text).withColumn("failed_bits", bits())
-    return apply_policy(led, policy).where("kept").select("__row.*")
+    whole = docs.select(docs[text].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    return apply_policy(ledger(whole), policy).where("kept").select("doc.*")

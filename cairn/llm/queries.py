@@ -50,12 +50,17 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select(*cols, base.alias("base_failed"), "kept", "failed_bits", "policy")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the strictest policy rejects, by itself and beside others, from the ledger's bits."""
+    return op9_rules.ablations(op9_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "v3")
+
+
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rulefit.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_license_windows, op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op6_preference_pairs, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_license_windows, op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op6_preference_pairs, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble, rule_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,7 @@
 
 _W = r"'[^\x20\x09-\x0D]+'"
 
-OP9 = rf"""
+_LEDGER = rf"""
 with d as (select doc_id, row_number() over () as k, coalesce(text, '') as text from documents),
 w as (select k, doc_id, text, regexp_extract_all(text, {_W}) as w from d),
 tri as (select k, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] as g
@@ -12,16 +12,37 @@ rep as (select k, count(distinct p) as n_repeat_words from (select k, unnest([i,
 ln as (select k, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_W})) as l from d),
 m as (select doc_id, len(w) as n_words, len(array_to_string(w, '')) as word_chars,
         len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
-        len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+        len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+        len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) as n_alpha_words,
+        len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[\x{{2022}}\x{{2023}}\x{{25CF}}\x{{25E6}}*\-]'))) as n_bullet_lines,
+        len(list_filter(l, lambda x: regexp_matches(x, '(?:\.\.\.|\x{{2026}})[\x20\x09-\x0D]*\z'))) as n_ellipsis_lines
       from w join ln using (k) left join rep using (k)),
 b as (select *, (n_words < 50)::int + 2 * (100 * n_repeat_words > 50 * n_words)::int + 4 * (10 * n_symbols > n_words)::int
         + 8 * (word_chars < 2 * n_words)::int + 16 * (word_chars > 15 * n_words)::int
-        + 32 * (n_lines >= 10 and 2 * n_dup_lines > n_lines)::int as bits from m)
+        + 32 * (n_lines >= 10 and 2 * n_dup_lines > n_lines)::int + 64 * (10 * n_alpha_words < 8 * n_words)::int
+        + 128 * (n_lines >= 3 and 10 * n_bullet_lines > 9 * n_lines)::int + 256 * (n_lines >= 3 and 10 * n_ellipsis_lines > 3 * n_lines)::int as bits from m)
+"""
+
+OP9 = (
+    _LEDGER
+    + """
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, (bits & 3) <> 0 as base_failed,
-  bits = 0 as kept, bits::bigint as failed_bits, 'v2' as policy
+  (bits & 63) = 0 as kept, bits::bigint as failed_bits, 'v2' as policy
 from b
 """
+)
+
+ABLATIONS = (
+    _LEDGER
+    + """,
+r(rule, bit) as (values ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('repeated_lines', 32),
+  ('few_letters', 64), ('bullets', 128), ('ellipses', 256)),
+n as (select rule, count_if(bits & bit <> 0) as n_failed, count_if(bits = bit) as n_only_this, count_if(bits <> 0 and bits <> bit) as n_rejected_without
+      from r, b group by rule)
+select rule, n_failed::bigint as n_failed, n_only_this::bigint as n_only_this, n_rejected_without::bigint as n_rejected_without from n
+"""
+)
 
 _T = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
@@ -142,4 +163,4 @@ select doc_id, coalesce(c, 0)::bigint as n_licenses, coalesce(l, '') as licenses
 """
 
 
-ORACLE = {"op2_license_windows": _licenses(), "op6_preference_pairs": OP6, "op7_mix_blocks": OP7, "op8_wu_manber": OP8, "op9_rule_ledger": OP9}
+ORACLE = {"op2_license_windows": _licenses(), "op6_preference_pairs": OP6, "op7_mix_blocks": OP7, "op8_wu_manber": OP8, "op9_rule_ledger": OP9, "rule_ablations": ABLATIONS}
