@@ -39,6 +39,11 @@ def op7_mix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mix.taken(table(spark, sf_dir, "documents"))
 
 
+def mix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which block of which source stands at which position of which output shard of the mix."""
+    return op7_mix.order(table(spark, sf_dir, "documents"))
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,7 +65,7 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_license_windows, op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op6_preference_pairs, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble, rule_ablations)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_license_windows, op3_consistent_hash_shards, op4_jaccard_join, op5_text_density, op6_preference_pairs, op7_mix_blocks, op8_wu_manber, op9_rule_ledger, op10_rule_ensemble, rule_ablations, mix_order)}
 
 
 def oracle_sql() -> dict[str, str]:

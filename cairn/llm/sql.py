@@ -62,7 +62,8 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from d left join pos using (k) left join its using (k)
 """
 
-_KEY = "(((rank + 1) * 48271 + {r1} * 69621) % 2147483647 * 16807 % 2147483647 % blocks)"
+_OWN = "(((rank + 1) * 48271 + 7 * 39373) % 2147483647)"
+_KEY = "((" + _OWN + " + {r1} * 69621) % 2147483647 * 16807 % 2147483647 % blocks)"
 
 
 def _mix() -> str:
@@ -70,7 +71,7 @@ def _mix() -> str:
     for r in range(8):
         key = _KEY.format(r1=r + 1)
         steps.append(f"y{r} as (select *, ({key} - x + blocks) % blocks as y from {x})")
-        bit = f"((greatest(x, y) % 2147483647 * 1103515245 + (rank + {r}) * 12345) % 2147483647 * 48271 % 2147483647) // 32768 % 2"
+        bit = f"((greatest(x, y) % 2147483647 * 1103515245 + {_OWN} + {r} * 12345) % 2147483647 * 48271 % 2147483647) // 32768 % 2"
         steps.append(f"x{r} as (select rank, blocks, case when {bit} = 1 then y else x end as x from y{r})")
         x = f"x{r}"
     return ",\n".join(steps)
@@ -78,7 +79,7 @@ def _mix() -> str:
 
 OP7 = rf"""
 with d as (select row_number() over () as k, doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_W})) as size,
-             md5(coalesce(doc_id::varchar, '')) as h from documents),
+             md5(coalesce(doc_id::varchar, 't' || text, '')) as h from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s1 as (select *, row_number() over (order by encode(source) nulls last) - 1 as rank from s0),
 s2 as (select *, [5, 2, 1][(rank % 3 + 1)::int]::bigint as w from s1),
