@@ -4,18 +4,24 @@ One regular expression finds candidates; each is validated by kind. Numbers and
 a keyed Feistel network, so equal values get equal pseudonyms in every document and different values different ones:
 
 - payment cards (13 to 19 digits that pass the Luhn check): all digits but the last are permuted, the check digit is made anew;
-- other runs of 12 to 34 digits, phone and social security numbers: the digits are permuted, signs and country code stay;
+- other runs of 12 to 34 digits: the digits are permuted;
+- phone numbers: the digits after the country code are permuted under that code, so that one number gets one pseudonym
+  however it is spelt; without a sign the number is North American (code 1). Signs and the country code stay;
+- social security numbers: those that can be issued are permuted among themselves, others among the rest;
 - IBANs (that pass the mod 97 check): the digits of the account part are permuted, the check digits made anew;
 - IPv4 addresses: permuted among all addresses;
-- calendar dates: permuted among the 146097 days of a 400-year window (= 189 * 773, which is why a Feistel network of these
-  two radices is a permutation of it), written in the same format.
+- calendar dates of all four-digit years: those of 1800 to 2199 among themselves, others among the rest, written in the same
+  format. Each format is a domain of its own. Dates with slashes are three: 25/12/2020 can only be read day first, 12/25/2020
+  only month first, 05/06/2020 both ways; each is walked along the permutation until it comes out in its own domain.
 
 The network alternates over both halves of a value: l = l + F(r), then r = r + F(l), modulo each half's size; F is a keyed
 SHA-256. ``reveal`` runs the rounds backwards. Mail addresses and secrets (hex digests, keys of known shapes), which are
-neither numbers nor dates, get keyed digests of the same shape.
+neither numbers nor dates, get keyed digests of the same shape. Phone numbers carry no check digit to validate.
+
+The key must be given, or set in ``spark.cairn.pii.key``: who knows it can undo the pseudonyms.
 
 Defined results: a null text stays null with no findings; candidates that fail validation (a date of 31 February) stay as
-they are. Repeated rows and extra columns stay. Texts without a digit or an at sign are not searched.
+they are. Repeated rows and extra columns stay, whatever their names, but for a column named found, which is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +31,14 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KEY_CONF = "spark.cairn.pii.key"
-DAYS, RADICES, EPOCH = 146097, (189, 773), "1800-01-01"
+#: The days of the years 0000 to 9999; those of 1800 to 2199 among them; radices of the domains inside and outside of these.
+DAYS, EPOCH = 3652425, "0000-01-01"
+RECENT, RECENT_DAYS = 657437, 146097
+RADICES, REST_RADICES = (189, 773), (1512, 2319)
+#: Steps of a walk: a value that belongs to its domain by chance p is not back after them with probability (1 - p) ** steps.
+WALK = 600
+# The calling codes of two digits; 1 and 7 have one, the others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 EMAIL = r"(?<![\w.%+\-])[\w.%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}\b"
@@ -85,14 +98,20 @@ def _once(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def digits_permuted(digits: Column, key: Column, kind: str, back: bool = False) -> Column:
+def walked(start: Column, step, belongs) -> Column:
+    """The first value after start on its way along a permutation that belongs to its domain again."""
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), start, lambda x, i: F.when((i > 0) & belongs(x), x).otherwise(step(x)))
+
+
+def digits_permuted(digits: Column, key: Column, kind: str | Column, back: bool = False) -> Column:
     """A permutation of the strings of as many digits (2 to 34)."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def run(d: Column) -> Column:
         u = F.floor(F.length(d) / 2).cast("int")
         v = F.length(d) - u
         ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
-        out = network(F.substring(d, F.lit(1), u), F.substring(d, u + 1, v), ten(u), ten(v), key, F.concat_ws("|", F.lit(kind), F.length(d).cast("string")), back)
+        out = network(F.substring(d, F.lit(1), u), F.substring(d, u + 1, v), ten(u), ten(v), key, F.concat_ws("|", kind, F.length(d).cast("string")), back)
         return _once(out, lambda s: F.concat(F.lpad(s["l"].cast("string"), u, "0"), F.lpad(s["r"].cast("string"), v, "0")))
 
     return _once(digits, run)
@@ -143,11 +162,15 @@ def number(s: Column, key: Column, back: bool = False) -> Column:
     def run(d: Column) -> Column:
         n = F.length(d)
         body = F.substring(d, F.lit(1), n - 1)
-        card = n.between(13, 19) & (F.substring(d, n, F.lit(1)) == check_digit(body))
-        # A number that is no card must not come out as one: its last digit keeps its distance from the check digit.
+        # The last digit keeps its distance from the check digit: none for a card, and a number that is no card must not come out
+        # as one.
         gap = (F.substring(d, n, F.lit(1)).cast("int") - check_digit(body).cast("int") + 10) % 10
-        new = _once(digits_permuted(body, key, "number", back), lambda b: F.concat(b, ((check_digit(b).cast("int") + gap) % 10).cast("string")))
-        return F.when(card, _once(digits_permuted(body, key, "card", back), lambda b: F.concat(b, check_digit(b)))).otherwise(new)
+
+        def again(g: Column) -> Column:
+            kind = F.when((g == 0) & n.between(13, 19), "card").otherwise("number")
+            return _once(digits_permuted(body, key, kind, back), lambda b: F.concat(b, ((check_digit(b).cast("int") + g) % 10).cast("string")))
+
+        return _once(gap, again)
 
     return _once(only_digits(s), lambda d: refill(s, run(d)))
 
@@ -166,7 +189,7 @@ def grouped(s: Column, key: Column) -> Column:
 
         def longest(i: Column) -> Column:
             joined = lambda n: F.array_join(F.slice(g, i + 1, n), "")
-            fits = lambda n: (F.forall(F.slice(g, i + 1, n), lambda x: F.length(only_digits(x)) >= 3)) & is_card(only_digits(joined(n)))
+            fits = lambda n: ((n == k) | F.forall(F.slice(g, i + 1, n), lambda x: F.length(only_digits(x)) >= 3)) & is_card(only_digits(joined(n)))
             return F.coalesce(F.get(F.filter(F.sequence(k - i, F.lit(1), F.lit(-1)), fits), F.lit(0)), F.lit(0))
 
         start = F.struct(F.lit("").alias("s"), F.lit(0).alias("skip"))
@@ -179,18 +202,40 @@ def grouped(s: Column, key: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), k - 1), start, step, lambda a: a["s"])
 
-    some = _once(F.split(s, r"(?<=[ \-])"), run)
-    return F.when(is_card(only_digits(s)), number(s, key)).otherwise(F.nullif(some, s))
+    return F.nullif(_once(F.split(s, r"(?<=[ \-])"), run), s)
 
 
 def phone(s: Column, key: Column, back: bool = False) -> Column:
-    code = F.regexp_extract(s, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
-    rest = lambda c: F.substring(s, F.length(c) + 1, F.length(s))
-    return _once(code, lambda c: F.concat(c, refill(rest(c), digits_permuted(only_digits(rest(c)), key, "phone", back))))
+    def run(d: Column) -> Column:
+        n = F.when(~s.startswith("+"), 0).when(d.rlike("^[17]"), 1).when(F.substring(d, 1, 2).isin(TWO_DIGIT_CODES), 2).otherwise(3)
+
+        def under(code: Column) -> Column:
+            tweak = F.concat(F.lit("phone"), F.when(code == "", "1").otherwise(code))
+            return F.concat(code, digits_permuted(F.substring(d, F.length(code) + 1, F.length(d)), key, tweak, back))
+
+        return refill(s, _once(F.substring(d, F.lit(1), n), under))
+
+    return _once(only_digits(s), run)
+
 
+def issued(d: Column) -> Column:
+    """Whether nine digits can be a social security number."""
+    return ~d.rlike("^(?:000|666|9|[0-9]{3}00|[0-9]{5}0000)")
 
-def plain(s: Column, key: Column, kind: str, back: bool = False) -> Column:
-    return refill(s, digits_permuted(only_digits(s), key, kind, back))
+
+def ssn(s: Column, key: Column, back: bool = False) -> Column:
+    """Areas but 000, 666 and 9xx, groups but 00 and serials but 0000 number 898 * 99 and 9999."""
+
+    def run(d: Column) -> Column:
+        part = lambda i, n: F.substring(d, i, n).cast("long")
+        area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+        out = network(area * 99 + part(4, 2) - 1, part(6, 4) - 1, F.lit(898 * 99).cast("long"), F.lit(9999).cast("long"), key, F.lit("ssn"), back)
+        pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        area_of = lambda x: F.floor(x / 99) + F.when(F.floor(x / 99) >= 665, 2).otherwise(1)
+        new = _once(out, lambda x: F.concat(pad(area_of(x["l"]), 3), pad(x["l"] % 99 + 1, 2), pad(x["r"] + 1, 4)))
+        return F.when(issued(d), new).otherwise(walked(d, lambda x: digits_permuted(x, key, "no ssn", back), lambda x: ~issued(x)))
+
+    return _once(only_digits(s), lambda d: refill(s, run(d)))
 
 
 def iban(s: Column, key: Column, back: bool = False) -> Column:
@@ -211,16 +256,36 @@ def ipv4(s: Column, key: Column, back: bool = False) -> Column:
     return _once(out, lambda x: F.concat_ws(".", part(x["l"]), part(x["r"])))
 
 
-def date(s: Column, key: Column, fmt: str, back: bool = False) -> Column:
-    """Null for what is no date of the window."""
-    day = F.datediff(F.to_date(F.try_to_timestamp(s, F.lit(fmt))), F.lit(EPOCH).cast("date"))
-    a, b = RADICES
+def day_permuted(day: Column, key: Column, back: bool = False) -> Column:
+    """A permutation of [0, DAYS) that keeps the days of 1800 to 2199 among themselves."""
+    recent = day.between(RECENT, RECENT + RECENT_DAYS - 1)
+    pick = lambda a, b: F.when(recent, a).otherwise(b)
+    (a, b), (c, d) = RADICES, REST_RADICES
+    # The domain's own number of the day, and the day of such a number.
+    at = pick(day - RECENT, F.when(day < RECENT, day).otherwise(day - RECENT_DAYS))
+    day_of = lambda x: pick(x + RECENT, F.when(x < RECENT, x).otherwise(x + RECENT_DAYS))
+    m, n = pick(a, c).cast("long"), pick(b, d).cast("long")
+    out = _once(at, lambda x: network(F.floor(x / n), x % n, m, n, key, pick("date", "other date"), back))
+    return _once(_once(out, lambda y: y["l"] * n + y["r"]), day_of)
 
-    def run(n: Column) -> Column:
-        out = network(F.floor(n / b), n % b, F.lit(a).cast("long"), F.lit(b).cast("long"), key, F.lit("date"), back)
-        return _once(out, lambda x: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (x["l"] * b + x["r"]).cast("int")), fmt))
 
-    return F.when(day.between(0, DAYS - 1), _once(day, run))
+def date(s: Column, key: Column, fmt: str | Column, back: bool = False, low: Column | None = None) -> Column:
+    """Null for what is no date. low: the date must come out with a day up to 12 (true) or above (false); null: with any."""
+    fmt, low = F.lit(fmt) if isinstance(fmt, str) else fmt, F.lit(None).cast("boolean") if low is None else low
+    epoch = F.lit(EPOCH).cast("date")
+    day = F.datediff(F.to_date(F.try_to_timestamp(s, fmt)), epoch).cast("long")
+    of = lambda n: F.date_add(epoch, n.cast("int"))
+    new = lambda n: walked(n, lambda x: day_permuted(x, key, back), lambda x: F.coalesce((F.dayofmonth(of(x)) <= 12) == low, F.lit(True)))
+    return F.when(day.isNotNull(), _once(day, lambda n: F.call_function("date_format", of(new(n)), fmt)))
+
+
+def dated(s: Column, key: Column, back: bool = False) -> Column:
+    """A date in the format that its signs tell. With slashes it is read day first if it can be; whether it can be read both
+    ways stays as it is."""
+    first, second = F.substring(s, 1, 2).try_cast("int"), F.substring(s, 4, 2).try_cast("int")
+    slash = s.contains("/")
+    fmt = F.when(s.contains("-"), "yyyy-MM-dd").when(~slash, "dd.MM.yyyy").when(second > 12, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
+    return date(s, key, fmt, back, F.when(slash, (first <= 12) & (second <= 12)))
 
 
 def email(s: Column, key: Column) -> Column:
@@ -251,9 +316,8 @@ def pseudonym(s: Column, key: Column) -> Column:
     """The pseudonym of a candidate; null where validation says that it is none."""
 
     def run(k: Column) -> Column:
-        out = F.when(k == "email", email(s, key)).when(k == "ipv4", ipv4(s, key)).when(k == "iso_date", date(s, key, "yyyy-MM-dd"))
-        out = out.when(k == "dot_date", date(s, key, "dd.MM.yyyy")).when(k == "slash_date", F.coalesce(date(s, key, "dd/MM/yyyy"), date(s, key, "MM/dd/yyyy")))
-        out = out.when(k == "ssn", plain(s, key, "ssn")).when(k == "phone", phone(s, key)).when(k == "number", number(s, key)).when(k == "iban", iban(s, key)).when(k == "grouped", grouped(s, key))
+        out = F.when(k == "email", email(s, key)).when(k == "ipv4", ipv4(s, key)).when(k.endswith("_date"), dated(s, key)).when(k == "ssn", ssn(s, key))
+        out = out.when(k == "phone", phone(s, key)).when(k == "number", number(s, key)).when(k == "iban", iban(s, key)).when(k == "grouped", grouped(s, key))
         return F.struct(F.when(k == "grouped", "number").otherwise(k).alias("kind"), out.otherwise(secret(s, key)).alias("value"))
 
     return _once(kind_of(s), run)
@@ -262,26 +326,32 @@ def pseudonym(s: Column, key: Column) -> Column:
 def reveal(s: Column, key: Column, kind: str) -> Column:
     """The original of a number's or a date's pseudonym, for who holds the key."""
     return {
-        "number": lambda: number(s, key, True), "phone": lambda: phone(s, key, True), "ssn": lambda: plain(s, key, "ssn", True), "iban": lambda: iban(s, key, True),
-        "ipv4": lambda: ipv4(s, key, True), "iso_date": lambda: date(s, key, "yyyy-MM-dd", True), "dot_date": lambda: date(s, key, "dd.MM.yyyy", True),
+        "number": lambda: number(s, key, True), "phone": lambda: phone(s, key, True), "ssn": lambda: ssn(s, key, True), "iban": lambda: iban(s, key, True),
+        "ipv4": lambda: ipv4(s, key, True), "iso_date": lambda: dated(s, key, True), "dot_date": lambda: dated(s, key, True), "slash_date": lambda: dated(s, key, True),
     }[kind]()
 
 
+#: What every text with a match of ANY holds: a digit, an at sign, or a key of letters only.
+NEEDED = r"[0-9@]|sk-|gh[pousr]_|A[KS]IA|[A-Fa-f]{32}"
+
+
 def protect(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """docs with the text's personal data replaced, and found: an array of (kind, value) with the pseudonyms in text order."""
-    key = F.lit(key or docs.sparkSession.conf.get(KEY_CONF, "cairn"))
-    t = F.col(text)
-    names = [c for c in docs.columns if c != "found"]
-    matches = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
-    x = docs.select(*names).withColumn("__m", matches)
-    some = F.size("__m") > 0
-    x = x.withColumn("__new", F.when(some, F.transform("__m", lambda m: pseudonym(m, key))))
-    x = x.withColumn("__new", F.when(some, F.zip_with("__m", "__new", lambda m, p: F.struct(F.when(p["value"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["value"], m).alias("value")))))
-    gaps = F.split(t, ANY, -1)
-    pairs = F.zip_with(gaps, "__new", lambda g, p: F.concat(g, F.coalesce(p["value"], F.lit(""))))
-    x = x.withColumn(text, F.when(some, F.array_join(pairs, "")).otherwise(t))
-    found = F.coalesce(F.filter("__new", lambda p: p["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>"))
-    return x.withColumn("found", found).drop("__m", "__new")
+    key = key or docs.sparkSession.conf.get(KEY_CONF, None)
+    if not key:
+        raise ValueError(f"no key for pseudonyms: give one, or set {KEY_CONF}")
+    k = F.lit(key)
+    # The columns of docs travel in one struct, so none of their names can clash with those made here.
+    x = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("t"))
+    x = x.withColumn("m", F.when(F.col("t").rlike(NEEDED), F.regexp_extract_all("t", F.lit(ANY), F.lit(0))))
+    some = F.size("m") > 0
+    x = x.withColumn("new", F.when(some, F.transform("m", lambda m: pseudonym(m, k))))
+    x = x.withColumn("new", F.when(some, F.zip_with("m", "new", lambda m, p: F.struct(F.when(p["value"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["value"], m).alias("value")))))
+    gaps = F.split("t", ANY, -1)
+    pairs = F.zip_with(gaps, "new", lambda g, p: F.concat(g, F.coalesce(p["value"], F.lit(""))))
+    found = F.coalesce(F.filter("new", lambda p: p["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>"))
+    x = x.select("row", F.when(some, F.array_join(pairs, "")).otherwise(F.col("t")).alias("t"), found.alias("found"))
+    return x.select(*[F.col("t").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != "found"], "found")
 
 
 def digest(docs: DataFrame, key: str | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.cairn.pii.key", "cairn")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
