@@ -67,3 +67,14 @@ def test_edges(spark):
     assert {r.n_licenses for r in L.licenses(docs_of(spark, ["a b c d e f"]), none).collect()} == {0}
     with pytest.raises(Exception, match="fewer than five"):
         L.licenses(docs_of(spark, ["a"]), spark.createDataFrame([("x", "all rights reserved")], "license_id string, text string")).collect()
+
+
+def test_full_licenses_and_copies_by_a_shuffle(spark, monkeypatch):
+    """Beyond the broadcast's limit the findings come by a salted join, with the same result."""
+    full = [L.NOTICES[k] for k in ("MIT-full", "Zlib", "BSD-2-Clause")]
+    texts = [None, full[0], "x y z", *[f"Copyright (c) someone\n\n{full[0]}"] * 40, full[1], full[2].upper(), None, ""]
+    docs = docs_of(spark, texts)
+    want = check(spark, docs)
+    assert "MIT-full" in want[1][1] and "MIT-full" in want[5][1] and want[43][1] == "Zlib" and want[44][1] == "BSD-2-Clause"
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    assert check(spark, docs) == want
