@@ -7,15 +7,18 @@ one member of each class.
 1. A class gets ``HASHES`` MinHash values of 16 bits. Bands of four values retrieve candidates: a pair of similarity 0.8
    shares none of the 32 bands with a probability of 5e-8. Every class of a bucket is tied to the bucket's least class; the
    connected components of these ties (as many as rows, never pairs) are the groups within which pairs are compared.
-2. Groups are dealt into cells of at most ``2 * CHUNK`` classes: a large group is split into chunks, and each pair of
-   chunks is a cell of its own, so every pair belongs to one cell. Groups of more than ``MAX_CHUNKS`` chunks, which chains
-   of chance retrievals might make, are dealt by bucket instead, and a pair is looked at in the first band it shares.
+2. Groups are dealt into cells of about ``2 * CHUNK`` classes and ``2 * CHUNK_SHINGLES`` shingles: a large group is split into
+   chunks, and each pair of chunks is a cell of its own, so every pair belongs to one cell. Groups of more than
+   ``MAX_CHUNKS`` chunks, which chains of chance retrievals might make, are dealt by bucket instead, and a pair is looked at
+   in the first band it shares. In cells of either kind the pairs that share a band are looked at, and no others, so the
+   size of a group does not decide which links are found.
 3. Within a cell the MinHash values are compared 16 at a time; a pair goes when the posterior probability (uniform prior)
    that its similarity reaches the threshold is below ``TOLERANCE``. The pairs left are verified: exact Jaccard coefficient
    of the shingle sets (of 64-bit hashes). A cell tells the links of each class and ties linked classes to their least
    one; pairs are never rows, so a group of thousands of near copies makes no more rows than it has chunks times members.
 
-No limit is set on buckets, partners or candidates. Result, one row per document: doc_id, copy_id (least id of its class),
+No limit is set on buckets, partners or candidates. A group of n different near copies takes n * n / 2 comparisons, since each
+of its links counts; beside them the cells receive n * n / CHUNK shingle sets, one for each chunk that a class meets. Result, one row per document: doc_id, copy_id (least id of its class),
 class_id (least id of the classes that links connect), n_links (other documents whose similarity is at least 0.8).
 
 Defined results: a document without words (null, empty, only signs) is alone: no links, and its own id for both ids. Null
@@ -31,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -42,7 +45,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 HASHES, ROWS, STEP = 128, 4, 16
 TOLERANCE = 1e-5
-CHUNK = 256
+#: Classes, and shingles, of a chunk of a group, to the nearest: a cell holds two chunks.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 21
 MAX_CHUNKS = 32
 #: The ids of classes in groups are broadcast up to so many rows (40 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -196,8 +200,9 @@ def _retrieved(table: pa.Table, cells: np.ndarray, need: list[int]) -> tuple[np.
             stay = matches >= least
             i, matches = i[stay], matches[stay]
         if len(i):
-            # A cell of a bucket takes the pairs that no earlier band retrieves.
-            i = i[(band[i] < 0) | ((bands[i] == bands[i + d]).argmax(axis=1) == band[i])]
+            # A pair is one that shares a band, in a cell of any kind; a cell of a bucket takes those that no earlier band retrieves.
+            same = bands[i] == bands[i + d]
+            i = i[np.where(band[i] < 0, same.any(axis=1), same.argmax(axis=1) == band[i])]
         left.append(i)
         right.append(i + d)
     return np.concatenate(left), np.concatenate(right)
@@ -266,13 +271,19 @@ def classes_of(sig: DataFrame) -> DataFrame:
     return sums.agg(F.count("*").alias("n"), first, F.any_value("sketch").alias("sketch"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles"))
 
 
+def chunks() -> Column:
+    """The chunks of a group of classes, by their number and by their shingles."""
+    return F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.col("n_shingles").cast("long")) / CHUNK_SHINGLES)).cast("int")
+
+
 def groups(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The classes in buckets of more than one: (band, key, m, hub) of those buckets; and digest, component, g (chunks)."""
-    rows = classes.select("digest", F.posexplode("bands").alias("band", "key"))
-    hubs = cut(rows.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("digest").alias("hub")).where("m > 1"), "buckets")
+    """The classes in buckets of more than one: (band, key, g, hub) of those buckets; and digest, component, g (chunks)."""
+    rows = classes.select("digest", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    hubs = rows.groupBy("band", "key").agg(F.count("*").alias("m"), chunks().alias("g"), F.min("digest").alias("hub"))
+    hubs = cut(hubs.where("m > 1"), "buckets")
     ties = rows.join(hubs, ["band", "key"]).where("digest != hub").select("digest", "hub").distinct()
     comp = components(ties, "digest", "hub").withColumnsRenamed({"node": "digest"})
-    sizes = comp.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("g"))
+    sizes = comp.join(classes.select("digest", "n_shingles"), "digest").groupBy("component").agg(chunks().alias("g"))
     return rows, hubs, cut(comp.join(sizes, "component"), "groups")
 
 
@@ -284,7 +295,7 @@ def cells(classes: DataFrame) -> DataFrame:
     out = small
     if large.head(1):
         by_bucket = rows.join(large, "digest", "left_semi").join(hubs, ["band", "key"])
-        out = out.union(by_bucket.select("digest", F.lit(b"").alias("grp"), "band", "key", F.ceil(F.col("m") / CHUNK).cast("int").alias("g")))
+        out = out.union(by_bucket.select("digest", F.lit(b"").alias("grp"), "band", "key", "g"))
     out = out.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("g")).cast("int"))
     # Each chunk meets each chunk in one cell: lo <= hi.
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
