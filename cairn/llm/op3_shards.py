@@ -10,7 +10,8 @@ slot in a plan table of at most ``2**GRID_BITS + arcs * shards`` rows, which is
 Rows that share id and text share a cell; they are ranked by a sort that spills.
 
 Defined results: null texts have size 1 and the checksum 0; null and repeated ids are ordinary keys; equal rows get
-different slots; an empty table gives no rows; extra columns may be carried along by name.
+different slots; an empty table gives no rows; extra columns may be carried along by name, but for those named like a
+column of the result.
 """
 
 from __future__ import annotations
@@ -79,14 +80,16 @@ def assign(docs: DataFrame, key: list, keep: list[str], shards: int = 8, vnodes:
     """Columns keep of docs with shard and slot. key: the columns whose hash is a row's place on the ring, and its order there."""
     spark = docs.sparkSession
     h = F.xxhash64(*key)
-    rows = docs.select(*[docs[c] for c in keep], h.alias("__h"), F.shiftrightunsigned(h, 64 - GRID_BITS).cast("int").alias("__cell"))
+    # The columns kept travel in one struct, so none of their names can clash with those made here.
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), h.alias("h"), F.shiftrightunsigned(h, 64 - GRID_BITS).cast("int").alias("cell"))
     per_cell = np.zeros(1 << GRID_BITS, dtype=np.int64)
-    for cell, n in rows.groupBy("__cell").agg(F.count("*").alias("n")).collect():  # at most 2 ** GRID_BITS rows
+    for cell, n in rows.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most 2 ** GRID_BITS rows
         per_cell[cell] = n
-    plan = spark.createDataFrame(plan_of(per_cell, shards, vnodes), "__pcell int, __lo long, __hi long, shard int, __base long")
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__cell").orderBy("__h", *keep_order(docs, keep))) - 1)
-    on = (F.col("__cell") == F.col("__pcell")) & (F.col("__r") >= F.col("__lo")) & (F.col("__r") < F.col("__hi"))
-    return ranked.join(F.broadcast(plan), on).select(*keep, "shard", (F.col("__base") + F.col("__r")).cast("long").alias("slot"))
+    plan = spark.createDataFrame(plan_of(per_cell, shards, vnodes), "of int, lo long, hi long, shard int, base long")
+    order = [F.col("row")[c] for c in keep_order(docs, keep)]
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("h", *order)) - 1)
+    on = (F.col("cell") == F.col("of")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))
+    return ranked.join(F.broadcast(plan), on).select(*[F.col("row")[c].alias(c) for c in keep], "shard", (F.col("base") + F.col("r")).cast("long").alias("slot"))
 
 
 def keep_order(docs: DataFrame, keep: list[str]) -> list:
@@ -121,9 +124,13 @@ def plan_of(per_cell: np.ndarray, shards: int, vnodes: int) -> list[tuple[int, i
     return out
 
 
+MADE = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, and the extra columns of docs asked for."""
-    text = F.coalesce(docs["text"], F.lit(""))
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, and the extra columns of docs asked for (but
+    those with these names)."""
+    text, extra = F.coalesce(docs["text"], F.lit("")), [c for c in extra if c not in MADE]
     sized = docs.select(
         docs["doc_id"].alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),

@@ -10,7 +10,7 @@ one row of the result, so its turns meet in one task; sorts spill.
 Defined results: turns without a conversation id belong to no conversation. A null role or text counts as empty. Turns come
 in the order of (turn, role, text), nulls first; repeated turns each count. A pair that lacks a side has an empty prompt and
 a null completion on that side. Equal conversations give empty completions and usable = false. An empty table gives no
-pairs; extra columns are ignored.
+pairs; extra columns are ignored. ``<|`` in a role or a text is rendered as ``< |``: what users write never counts as a mark.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ START, END = "<|im_start|>", "<|im_end|>"
 LEARN = "assistant"
 
 
+def plain(s: Column) -> Column:
+    """A role or a text in which the opening of a mark is broken by a space, so that it cannot forge a turn."""
+    return F.replace(F.coalesce(s, F.lit("")), F.lit("<|"), F.lit("< |"))
+
+
 def head(role: Column) -> Column:
     return F.concat(F.lit(START), role, F.lit("\n"))
 
@@ -42,7 +47,7 @@ def by_table(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
 def preferences(turns: DataFrame) -> DataFrame:
     """turns: pair_id, side, conv_id, turn, role, text. One row per pair: ids, n_prefix, prompt, and for each side its
     completion and learn (array of start, end in characters of the completion); usable."""
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    role, text = plain(F.col("role")), plain(F.col("text"))
     x = turns.where(F.col("conv_id").isNotNull()).select("pair_id", "side", "conv_id", "turn", role.alias("role"), text.alias("text"))
     x = x.repartition("pair_id")
     piece = F.concat(head(F.col("role")), "text", F.lit(END + "\n"))

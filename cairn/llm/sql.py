@@ -108,9 +108,9 @@ from p left join g using (k) join (select rank, source from s7) z using (rank)
 
 OP6 = r"""
 with t as (select (conv_id - ((conv_id % 2) + 2) % 2) // 2 as pair_id, ((conv_id % 2) + 2) % 2 as side, conv_id,
-             coalesce(role, '') as role, coalesce(text, '') as text,
-             row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as r
-           from conversations where conv_id is not null),
+             role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as r
+           from (select conv_id, turn, replace(coalesce(role, ''), '<|', '< |') as role, replace(coalesce(text, ''), '<|', '< |') as text
+                 from conversations where conv_id is not null)),
 a as (select * from t where side = 0), b as (select * from t where side = 1),
 n as (select pair_id, max(r) as n, max(case when side = 0 then conv_id end) as chosen_id, max(case when side = 1 then conv_id end) as rejected_id
       from t group by pair_id),
