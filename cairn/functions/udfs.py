@@ -58,6 +58,12 @@ def file_hash(nodes: pd.Series) -> pd.Series:
     return pd.Series([K.file_hash([(x["hash"], x["size"]) for x in n]) for n in nodes])
 
 
+@F.pandas_udf(T.BinaryType())
+def joined(parts: pd.Series) -> pd.Series:
+    """The bytes of an array's values, one after the other."""
+    return pd.Series([b"".join(x) for x in parts])
+
+
 class Chunks:
     """Table function: offset, size and hash of the content-defined chunks of a value."""
 

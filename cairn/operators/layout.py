@@ -27,20 +27,30 @@ def first_of_each_file(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("seq") == 0)
 
 
-def terms(located: DataFrame) -> DataFrame:
-    """Runs of a file's chunks that follow each other in one container.
+def numbered(located: DataFrame) -> DataFrame:
+    """Adds term, the number of a chunk's run: chunks of a file that follow each other in one container.
 
-    located: file, seq, container, idx, size. A term ends where the container changes or the index does not go up by one.
+    located: file, seq, container, idx. A term ends where the container changes or the index does not go up by one.
     """
     w = Window.partitionBy("file").orderBy("seq")
     new = (F.lag("container").over(w).isNull() | (F.lag("container").over(w) != F.col("container")) | (F.lag("idx").over(w) + 1 != F.col("idx"))).cast("int")
     x = located.withColumn("__new", new).withColumn("term", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    x = x.groupBy("file", "term", "container").agg(F.min("idx").alias("chunk_start"), (F.max("idx") + 1).alias("chunk_end"), F.sum("size").alias("unpacked"))
+    return x.drop("__new")
+
+
+def summed(numbered: DataFrame) -> DataFrame:
+    """file, term, container, chunk_start, chunk_end, unpacked, file_start, file_end of numbered chunks (with size)."""
+    x = numbered.groupBy("file", "term", "container").agg(F.min("idx").alias("chunk_start"), (F.max("idx") + 1).alias("chunk_end"), F.sum("size").alias("unpacked"))
     # The window over terms reuses the partitioning by file.
     before = F.sum("unpacked").over(Window.partitionBy("file").orderBy("term").rowsBetween(Window.unboundedPreceding, 0)) - F.col("unpacked")
     return x.withColumn("file_start", before).withColumn("file_end", F.col("file_start") + F.col("unpacked"))
 
 
+def terms(located: DataFrame) -> DataFrame:
+    """Terms of located chunks (file, seq, container, idx, size)."""
+    return summed(numbered(located))
+
+
 def container_totals(container_chunks: DataFrame) -> DataFrame:
     """container, chunks, unpacked and packed bytes."""
     return container_chunks.groupBy("container").agg(F.count("*").alias("chunks"), F.sum("size").alias("unpacked"), F.sum("packed").alias("packed"))
@@ -53,16 +63,27 @@ def footer_totals(shard_containers: DataFrame, shard_terms: DataFrame) -> DataFr
     return a.join(b, "shard", "full_outer").select("shard", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("stored", "on_disk", "materialized")])
 
 
+def fill(sizes: np.ndarray, cap: int, most: int, no: int, n: int, total: int) -> tuple[np.ndarray, np.ndarray, int, int, int]:
+    """Container numbers and places of sizes in order, and the open container (number, members, bytes) after them, given the one
+    before. A container closes before a size that would take it beyond cap, or after most members. A step per container."""
+    nos, idx = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    i = 0
+    while i < len(sizes):
+        j = min(int(np.searchsorted(upto, upto[i] + cap - total, side="right")) - 1, i + most - n, len(sizes))
+        if j <= i:
+            if n:
+                no, n, total = no + 1, 0, 0
+                continue
+            j = i + 1  # beyond cap by itself
+        nos[i:j], idx[i:j] = no, np.arange(n, n + j - i)
+        n, total, i = n + j - i, total + int(upto[j] - upto[i]), j
+    return nos, idx, no, n, total
+
+
 def greedy_groups(sizes: np.ndarray, cap: int, most: int) -> np.ndarray:
-    """Group numbers: a group closes before a size that would take it beyond cap, or after most members."""
-    out, group, n, total = np.empty(len(sizes), np.int64), 0, 0, 0
-    for i, s in enumerate(sizes.tolist()):
-        if n and (total + s > cap or n >= most):
-            group, n, total = group + 1, 0, 0
-        out[i] = group
-        n += 1
-        total += s
-    return out
+    """Group numbers of one sequence of sizes."""
+    return fill(np.asarray(sizes, np.int64), cap, most, 0, 0, 0)[0]
 
 
 def pack(chunks: DataFrame, by: list[str], order: list[str], cap: int = 64 << 20, most: int = 8192) -> DataFrame:
@@ -70,23 +91,28 @@ def pack(chunks: DataFrame, by: list[str], order: list[str], cap: int = 64 << 20
 
     The greedy rule carries its state from chunk to chunk, so a group is one sequence; groups (upload batches, files, prefixes
     of the chunk hash) run in parallel. Rows stream through in batches, sorted within partitions: only the open container's
-    counters are held, whatever the size of a group.
+    counters are held, whatever the size of a group. Join contents afterwards: rows should be hashes and sizes.
     """
     names = [c for c in chunks.columns if c not in ("container_no", "idx")]
     schema = ", ".join(f"`{c}` {t}" for c, t in chunks.select(*names).dtypes) + ", container_no long, idx long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, no, n, total = None, 0, 0, 0
+        key, open_one = None, (0, 0, 0)
         for pdf in batches:
-            nos, idx = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
-            for i, (k, s) in enumerate(zip(pdf[by].itertuples(index=False, name=None), pdf["size"].tolist(), strict=True)):
-                if k != key:
-                    key, no, n, total = k, 0, 0, 0
-                elif n and (total + s > cap or n >= most):
-                    no, n, total = no + 1, 0, 0
-                nos[i], idx[i] = no, n
-                n += 1
-                total += s
+            nos, idx, sizes = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), pdf["size"].to_numpy(np.int64)
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), bool)
+            for c in by:
+                v = pdf[c].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                k = tuple(pdf[by].iloc[lo])
+                open_one = open_one if k == key else (0, 0, 0)
+                key = k
+                nos[lo:hi], idx[lo:hi], *state = fill(sizes[lo:hi], cap, most, *open_one)
+                open_one = tuple(state)
             yield pdf.assign(container_no=nos, idx=idx)
 
     return chunks.select(*names).repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)

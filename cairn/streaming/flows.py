@@ -91,10 +91,10 @@ def put_stream(writes: DataFrame, table: str, checkpoint: str):
 
     def commit(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            there = spark.read.parquet(table).select("key")
-        except Exception:
-            there = spark.createDataFrame([], batch.select("key").schema)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+        # Only a table that is not there yet is empty: any other failure to read it must not lose a first writer.
+        new = not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        there = spark.createDataFrame([], batch.select("key").schema) if new else spark.read.parquet(table).select("key")
         put_if_absent(there, batch).where("inserted").select("key", "value").write.mode("append").parquet(table)
 
     return writes.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
