@@ -23,6 +23,14 @@ def count_words(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, f"[{WS}]++", "")).cast("long")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with as many signs before it as make it none of those taken (in any case of letters)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of
     its own (tests); a cluster must name one, since its executors do not see the driver's folders."""

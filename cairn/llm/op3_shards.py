@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free
+
 GRID_BITS = 16
 
 
@@ -80,16 +82,17 @@ def assign(docs: DataFrame, key: list, keep: list[str], shards: int = 8, vnodes:
     """Columns keep of docs with shard and slot. key: the columns whose hash is a row's place on the ring, and its order there."""
     spark = docs.sparkSession
     h = F.xxhash64(*key)
-    # The columns kept travel in one struct, so none of their names can clash with those made here.
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), h.alias("h"), F.shiftrightunsigned(h, 64 - GRID_BITS).cast("int").alias("cell"))
+    # Names of its own, whatever those kept are.
+    own = {n: free(n, keep) for n in ("h", "cell", "rank", "of", "lo", "hi", "base")}
+    rows = docs.select(*[docs[c] for c in keep], h.alias(own["h"]), F.shiftrightunsigned(h, 64 - GRID_BITS).cast("int").alias(own["cell"]))
     per_cell = np.zeros(1 << GRID_BITS, dtype=np.int64)
-    for cell, n in rows.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most 2 ** GRID_BITS rows
+    for cell, n in rows.groupBy(own["cell"]).agg(F.count("*").alias("n")).collect():  # at most 2 ** GRID_BITS rows
         per_cell[cell] = n
-    plan = spark.createDataFrame(plan_of(per_cell, shards, vnodes), "of int, lo long, hi long, shard int, base long")
-    order = [F.col("row")[c] for c in keep_order(docs, keep)]
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("h", *order)) - 1)
-    on = (F.col("cell") == F.col("of")) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi"))
-    return ranked.join(F.broadcast(plan), on).select(*[F.col("row")[c].alias(c) for c in keep], "shard", (F.col("base") + F.col("r")).cast("long").alias("slot"))
+    plan = spark.createDataFrame(plan_of(per_cell, shards, vnodes), "{of} int, {lo} long, {hi} long, shard int, {base} long".format(**own))
+    ranked = rows.withColumn(own["rank"], F.row_number().over(Window.partitionBy(own["cell"]).orderBy(own["h"], *keep_order(docs, keep))) - 1)
+    col = {n: F.col(c) for n, c in own.items()}
+    on = (col["cell"] == col["of"]) & (col["rank"] >= col["lo"]) & (col["rank"] < col["hi"])
+    return ranked.join(F.broadcast(plan), on).select(*keep, "shard", (col["base"] + col["rank"]).cast("long").alias("slot"))
 
 
 def keep_order(docs: DataFrame, keep: list[str]) -> list:

@@ -46,7 +46,7 @@ THRESHOLD = 0.8
 HASHES, ROWS, STEP = 128, 4, 16
 TOLERANCE = 1e-5
 #: Classes, and shingles, of a chunk of a group, to the nearest: a cell holds two chunks.
-CHUNK, CHUNK_SHINGLES = 512, 1 << 21
+CHUNK, CHUNK_SHINGLES = 256, 1 << 21
 MAX_CHUNKS = 32
 #: The ids of classes in groups are broadcast up to so many rows (40 bytes each); beyond, the texts are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000

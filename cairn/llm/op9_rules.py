@@ -109,7 +109,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     # rewritten in terms of the text, and the arrays would be made again for each of their elements.
     fixed = F.least(F.monotonically_increasing_id(), F.lit(0))
     repeats = (F.coalesce(covered, F.lit(0)) + fixed).cast("long").alias("n_repeat_words")
-    return c.select(*[F.col("row")[x].alias(x) for x in rest], *[repeats if m == "n_repeat_words" else F.col(m) for m in MEASURES])
+    d = c.select("row", *[repeats if m == "n_repeat_words" else F.col(m) for m in MEASURES])
+    # Apart: beside these names, those inside a function's arguments would mean the aliases.
+    return d.select(*[F.col("row")[x].alias(x) for x in rest], *MEASURES)
 
 
 def bits() -> Column:

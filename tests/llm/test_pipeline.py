@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
 
 from .brute import hits, ledger
@@ -36,3 +38,18 @@ def test_run_equals_the_stages(spark, sf):
     a = sorted((r.doc_id, r.text, r.shard, r.slot) for r in C.run(spark, sf).collect())
     b = sorted((r.doc_id, r.text, r.shard, r.slot) for r in C.run(spark, sf).collect())
     assert a == b and a
+
+
+def test_null_empty_and_clashing_input(spark, tmp_path):
+    """Null columns, empty texts and columns named like those of stages go through; so does an empty table."""
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good, "en", None, None), (None, good + " end", None, "s", 9), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, " ".join(f"v{i}" for i in range(70)), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit("own").alias(c) for c in ("row", "n_words", "rank", "size", "shard", "__row", "cell", "kept")])
+    for name, some in (("some", docs), ("none", docs.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "nothing of these words")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = C.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} == ({1, 4} if name == "some" else set())
+        assert all(r[c] == "own" for r in out for c in ("row", "n_words", "rank", "__row", "cell", "kept"))
+        check(out)
