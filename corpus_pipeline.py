@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import op3_shards, op4_jaccard, op7_mix, op8_decontaminate, op9_rules
-from cairn.llm.common import cut
+from cairn.llm.common import cut, drop_cuts, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its shard and slot on the ring."""
-    return op3_shards.shard(docs, shards=8, extra=("text", "lang", "source", "n_chars"))
+    """Every document with its shard and slot on the ring, and the columns of docs."""
+    return op3_shards.shard(docs, shards=8, extra=tuple(docs.columns))
 
 
 STAGES = [
@@ -49,10 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and reread."""
+    """All stages over documents; each stage's result is written to the shared folder and reread, and what the stage read goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage{k}")
-    return docs
+    others = set(written())
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = cut(stage(spark, docs, sf_dir), f"stage{k}")
+        drop_cuts(spark, [x for x in written()[:-1] if x not in others])
+    return STAGES[-1][1](spark, docs, sf_dir)
