@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 def covered(ranges: DataFrame, requests: DataFrame) -> DataFrame:
     """request, covered: whether the union of a container's cached ranges covers [lo, hi).
     ranges: container, chunk_start, chunk_end; requests: request, container, lo, hi."""
-    x = requests.join(ranges, "container").where("chunk_start < hi and chunk_end > lo")
-    w = Window.partitionBy("request").orderBy("chunk_start", "chunk_end").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("reach", F.greatest(F.coalesce(F.max("chunk_end").over(w), F.col("lo")), F.col("lo")))
-    good = x.groupBy("request").agg((F.max((F.col("chunk_start") > F.col("reach")).cast("int")) == 0).alias("no_gap"), F.max("chunk_end").alias("end"))
-    y = requests.join(good, "request", "left")
-    return y.select("request", (F.coalesce(F.col("no_gap") & (F.col("end") >= F.col("hi")), F.lit(False)) | (F.col("lo") >= F.col("hi"))).alias("covered"))
+    # Merged ranges lie apart, so one of them must hold the whole request; a container has at most half as many as chunks.
+    islands = merged(ranges).groupBy("container").agg(F.collect_list(F.struct("chunk_start", "chunk_end")).alias("__r"))
+    held = F.exists("__r", lambda r: (r["chunk_start"] <= F.col("lo")) & (r["chunk_end"] >= F.col("hi")))
+    return requests.join(islands, "container", "left").select("request", (F.coalesce(held, F.lit(False)) | (F.col("lo") >= F.col("hi"))).alias("covered"))
 
 
 def merged(ranges: DataFrame) -> DataFrame:

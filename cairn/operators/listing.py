@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ZERO_SHA = "0" * 64
@@ -22,25 +22,39 @@ def entries(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("entry", F.when(grouped, F.concat(F.lit("s"), "sha")).otherwise(F.concat(F.lit("f"), F.col("file").cast("string"))))
 
 
-def references(entry_terms: DataFrame) -> DataFrame:
-    """entry, container, idx: each chunk that an entry's terms cover, once. Terms grow into their chunks here, at most
-    MAX_CHUNKS a term."""
-    x = entry_terms.where("chunk_end > chunk_start").select("entry", "container", F.explode(F.sequence("chunk_start", F.col("chunk_end") - 1)).alias("idx"))
-    return x.distinct()
+def islands(entry_terms: DataFrame) -> DataFrame:
+    """entry, container, lo, hi: the chunks that an entry's terms cover in a container, as ranges that lie apart."""
+    x = entry_terms.where("chunk_end > chunk_start").select("entry", "container", "chunk_start", "chunk_end").distinct()
+    w = Window.partitionBy("entry", "container").orderBy("chunk_start", "chunk_end")
+    reach = F.max("chunk_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("__new", F.coalesce(F.col("chunk_start") > reach, F.lit(True)).cast("int"))
+    x = x.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.groupBy("entry", "container", "__g").agg(F.min("chunk_start").alias("lo"), F.max("chunk_end").alias("hi"))
+    return x.select("entry", "container", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
 
 
 def stored_sizes(entry_terms: DataFrame, container_chunks: DataFrame) -> DataFrame:
     """entry, unique_size, shared_size: packed bytes of chunks that only this entry refers to, or others too.
 
-    All terms count as references; a term that reaches beyond the chunks of the stored container adds no size.
+    All terms count as references; a term that reaches beyond the chunks of the stored container adds no size. Terms never
+    grow into their chunks: a sweep over each container's chunks and the ends of ranges (once added up, at most a row for each
+    chunk number) tells how many entries cover a chunk and the bytes before it; a range's bytes are differences.
     """
-    refs = references(entry_terms)
-    users = refs.groupBy("container", "idx").agg(F.count("*").alias("users"))
     stored = container_chunks.groupBy("container").agg((F.max("idx") + 1).alias("n"))
-    good = entry_terms.join(stored, "container").where("chunk_end <= n")
-    sized = references(good).join(users, ["container", "idx"]).join(container_chunks.select("container", "idx", "packed"), ["container", "idx"])
-    one = F.col("users") == 1
-    return sized.groupBy("entry").agg(F.sum(F.when(one, F.col("packed")).otherwise(0)).alias("unique_size"), F.sum(F.when(one, 0).otherwise(F.col("packed"))).alias("shared_size"))
+    used, good = islands(entry_terms), islands(entry_terms.join(stored, "container").where("chunk_end <= n"))
+    row = lambda x, p, d=0, packed=None: x.select("container", F.col(p).cast("long").alias("p"), F.lit(d).cast("long").alias("d"), (F.col(packed) if packed else F.lit(0)).cast("long").alias("packed"))
+    points = row(container_chunks, "idx", packed="packed")
+    for x in (row(used, "lo", 1), row(used, "hi", -1), row(good, "lo"), row(good, "hi")):
+        points = points.union(x)
+    points = points.groupBy("container", "p").agg(F.sum("d").alias("d"), F.sum("packed").alias("packed"))
+    w = Window.partitionBy("container").orderBy("p")
+    points = points.withColumn("users", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = lambda c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    points = points.select("container", "p", before(F.col("packed")).alias("all"), before(F.when(F.col("users") == 1, F.col("packed")).otherwise(0)).alias("own"))
+    at = lambda c: points.select("container", F.col("p").alias(c), F.col("all").alias(f"{c}_all"), F.col("own").alias(f"{c}_own"))
+    x = good.join(at("lo"), ["container", "lo"]).join(at("hi"), ["container", "hi"])
+    own, every = F.sum(F.col("hi_own") - F.col("lo_own")), F.sum(F.col("hi_all") - F.col("lo_all"))
+    return x.groupBy("entry").agg(own.alias("unique_size"), (every - own).alias("shared_size"))
 
 
 def list_files(file_index: DataFrame, shard_files: DataFrame, terms: DataFrame, container_chunks: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from . import ingest
 from .registry import query
 from .standins import Tables
 from .storage_queries import _plan
+from .store import Store
 
 
 def corpus(t: Tables) -> DataFrame:
@@ -68,7 +69,7 @@ def validated_containers(t: Tables):
     return _containers(t).select("container", "content").mapInPandas(run, "container string, faults string, chunks long, in_range long, same_offsets boolean")
 
 
-@query("K3 K5 K8 K9 K10 K11 S34 S35 V4 V7 A7 A11", "select doc_id // 20 as file, sha256(string_agg(coalesce(text, ''), chr(10) order by doc_id)) as sha, true as same from documents group by 1")
+@query("K5 V4 V7 A7", "select doc_id // 20 as file, sha256(string_agg(coalesce(text, ''), chr(10) order by doc_id)) as sha, true as same from documents group by 1")
 def ingest_round_trip(t: Tables):
     spark, store = t.spark, scratch.folder(t.spark, "store")
     files = corpus(t)
@@ -77,17 +78,56 @@ def ingest_round_trip(t: Tables):
     return files.select("file", F.sha2("content", 256).alias("sha")).join(back, "file").select("file", "sha", (F.sha2(back["content"], 256) == F.col("sha")).alias("same"))
 
 
+@query("K1 K11 G1 G4 S34", """with d as (select doc_id // 20 as file, sha256(string_agg(coalesce(text, ''), chr(10) order by doc_id)) as sha from documents group by 1)
+  select file, case when file % 3 = 1 then null else sha end as sha, case when file % 3 = 1 then 'unknown file' end as error from d""")
+def store_sweep(t: Tables):
+    """Two files of three are unlinked, one of them is put again, the rest is swept, all are read."""
+    s = Store(t.spark, scratch.folder(t.spark, "store"), "long")
+    files = corpus(t)
+    s.put_files(files)
+    s.unlink(files.where("file % 3 <> 0").select("file"))
+    s.put_files(files.where("file % 3 = 2"))
+    s.sweep()
+    return s.read_files(files.select("file")).select("file", F.sha2("content", 256).alias("sha"), "error")
+
+
+@query("K18 G2", """select doc_id // 20 as file, sum(strlen(coalesce(text, '')))::bigint + count(*) - 1 as size from documents group by 1""")
+def store_reput(t: Tables):
+    """Everything is put, unlinked, swept and put again, twice: each file is there once, with all its bytes."""
+    s = Store(t.spark, scratch.folder(t.spark, "store"), "long")
+    files = corpus(t)
+    s.put_files(files)
+    s.unlink(files.select("file"))
+    s.sweep()
+    s.put_files(files)
+    s.put_files(files)
+    return s.table("file_index").select("file").join(s.table("shards").select("file", F.coalesce("size", F.lit(0)).alias("size")), "file")
+
+
+@query("K10 S35", """with d as (select doc_id // 20 as file, encode(string_agg(coalesce(text, ''), chr(10) order by doc_id)) as content from documents group by 1)
+  select file, (octet_length(content) - octet_length(content) // 3)::bigint as size, sha256(content[octet_length(content) // 3 + 1:]) as sha from d where octet_length(content) > 0""")
+def resumed_reads(t: Tables):
+    """Each file from a third of its bytes on, as a download that stopped there goes on."""
+    s = Store(t.spark, scratch.folder(t.spark, "store"), "long")
+    files = corpus(t)
+    s.put_files(files)
+    asked = s.table("shards").where("size > 0").select(F.col("file").alias("request"), "file", F.expr("size div 3").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    x = s.read_parts(asked).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("p"))
+    x = x.select("file", udfs.joined(F.transform("p", lambda r: r["part"])).alias("rest"))
+    return x.select("file", F.octet_length("rest").cast("long").alias("size"), F.sha2("rest", 256).alias("sha"))
+
+
 @query("S8 S9 S10 S21 S22 V1 K8 K9 F4 F26")
 def decoded_shards(t: Tables):
-    spark, store = t.spark, scratch.folder(t.spark, "store")
-    ingest.ingest(corpus(t), store)
-    objects = ingest.shard_objects(spark.read.parquet(f"{store}/shards"), spark.read.parquet(f"{store}/terms"))
+    s = Store(t.spark, scratch.folder(t.spark, "store"), "long")
+    s.put_files(corpus(t))
+    objects = ingest.shard_objects(s.table("shards"), s.table("terms"))
     raw = objects.select(F.col("name").alias("path"), F.lit("2024-01-01").cast("timestamp").alias("modificationTime"), "content")
     x = readers.file_terms(readers.shards(raw, "required"))
     return x.groupBy("path").agg(F.count("container").alias("terms"), F.sum("unpacked").alias("size"), F.max(F.lower(F.hex("file"))).alias("file"))
 
 
-@query("S23 S24 S25 K13 F29")
+@query("S24 S25 K13 F29")
 def cached_ranges(t: Tables):
     def run(batches):
         for b in batches:
@@ -102,7 +142,7 @@ def cached_ranges(t: Tables):
     return readers.cached_ranges(d.mapInPandas(run, "name string, content binary"))
 
 
-@query("S32 K17", """select event_id as stream, case event_id % 4 when 0 then 'result' when 1 then 'error' when 2 then 'retry' else 'incomplete' end as outcome,
+@query("S32", """select event_id as stream, case event_id % 4 when 0 then 'result' when 1 then 'error' when 2 then 'retry' else 'incomplete' end as outcome,
   case event_id % 4 when 1 then event_type when 2 then 'unknown error' end as message from events""")
 def upload_outcomes(t: Tables):
     i = F.col("event_id")
@@ -138,7 +178,20 @@ def state_events(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("key"), i.alias("ord"), kind.alias("kind"), i.alias("at"), F.when(i % 3 != 0, (i % 2).cast("string")).alias("etag"))
 
 
-@query("T1 T2 T3 T4 T7")
+@query("T1 T2 T3 T4", """with recursive e as (select user_id as key, event_id as ord, event_id as "at", case event_id % 5 when 2 then 'done' when 3 then 'failed' when 4 then 'probe' else 'request' end as kind,
+    case when event_id % 3 <> 0 then (event_id % 2)::varchar end as etag, row_number() over (partition by user_id order by event_id) as r from events),
+  n as (select key, 0::bigint as r, 0::bigint as ord, 0::bigint as "at", 'idle' as status, null::varchar as tag, 0::bigint as checked, 0::bigint as failures, 0::bigint as retry, '' as answer from (select distinct key from e)
+    union all select n.key, e.r, e.ord, e."at",
+      case when kind = 'request' then case when status = 'idle' and retry <= e."at" then 'in_flight' else status end when kind = 'done' then 'ready' when kind = 'failed' then 'idle'
+        when status = 'ready' and etag <> coalesce(tag, '-') then 'idle' else status end,
+      case when kind = 'done' then etag when kind = 'probe' and status = 'ready' and etag <> coalesce(tag, '-') then null else tag end,
+      case when kind = 'done' then e."at" when kind = 'probe' and status = 'ready' and etag is not null then case when etag = tag then e."at" else 0 end else checked end,
+      case when kind = 'done' then 0 when kind = 'failed' then failures + 1 when kind = 'probe' and status = 'ready' and etag <> coalesce(tag, '-') then 0 else failures end,
+      case when kind = 'done' then 0 when kind = 'failed' then e."at" + least(10 * (2 ** least(failures, 6))::bigint, 600) when kind = 'probe' and status = 'ready' and etag <> coalesce(tag, '-') then 0 else retry end,
+      case when kind = 'request' then case when status = 'ready' then case when checked + 300 <= e."at" then 'revalidate' else 'ready' end when status = 'in_flight' then 'wait' when retry > e."at" then 'backoff' else 'start' end
+        when kind = 'done' then 'stored' when kind = 'failed' then 'failed' when status <> 'ready' then 'ignored' when etag is null then 'kept' when etag = tag then 'valid' else 'dropped' end
+    from n join e on e.key = n.key and e.r = n.r + 1)
+  select key, ord, "at", answer, failures from n where r > 0""")
 def resolve_replay(t: Tables):
     """The batch twin of the resolve stream."""
 
@@ -150,16 +203,7 @@ def resolve_replay(t: Tables):
     return state_events(t).groupBy("key").applyInPandas(run, "key long, ord long, at long, answer string, failures long")
 
 
-@query("S26 K14 F29", """select c.endpoint, c.chunk, c.shard from (select 'e' || shard % 3 as endpoint, chunk, max(shard) as shard from @chunk_index group by all) c where c.chunk % 32 = 0 and c.shard % 7 <> 0""")
-def cached_locations(t: Tables):
-    """Locations kept by endpoint; rows of the wrong size are not believed."""
-    c = t.chunk_index.select(F.concat(F.lit("e"), (F.col("shard") % 3).cast("string")).alias("endpoint"), "chunk", "shard")
-    kept = c.groupBy("endpoint", "chunk").agg(F.max("shard").alias("shard")).withColumn("bytes", F.when(F.col("shard") % 7 == 0, 3).otherwise(36))
-    asked = c.where("chunk % 32 = 0").select("endpoint", "chunk").distinct()
-    return dedup.resolve(asked, kept.where("bytes = 36"), ["endpoint", "chunk"]).select("endpoint", "chunk", "shard")
-
-
-@query("S26 K14 F29", """with k as (select 'e' || shard % 3 as endpoint, chunk, max(shard) as shard from @chunk_index group by all), a as (select chunk, 'e' || e as endpoint from @chunk_index cross join (values (0), (1), (2)) as v(e))
+@query("F29", """with k as (select 'e' || shard % 3 as endpoint, chunk, max(shard) as shard from @chunk_index group by all), a as (select chunk, 'e' || e as endpoint from @chunk_index cross join (values (0), (1), (2)) as v(e))
   select endpoint, chunk, shard from a join k using (endpoint, chunk) where shard % 7 <> 0""")
 def cached_locations_all(t: Tables):
     """Every endpoint is asked for every chunk of the index; rows of the wrong size are not believed."""
@@ -169,7 +213,7 @@ def cached_locations_all(t: Tables):
     return dedup.resolve(asked, kept.where("bytes = 36"), ["endpoint", "chunk"]).select("endpoint", "chunk", "shard")
 
 
-@query("S18 S19", "select s.sha, coalesce(f.file, '') as file from @sha_index s left join (select shard, sha, min(file)::varchar as file from @shard_files where shard % 4 <> 0 group by all) f using (shard, sha)")
+@query("S18", "select s.sha, coalesce(f.file, '') as file from @sha_index s left join (select shard, sha, min(file)::varchar as file from @shard_files where shard % 4 <> 0 group by all) f using (shard, sha)")
 def file_of_digest(t: Tables):
     f = t.shard_files.where("shard % 4 <> 0").groupBy("shard", "sha").agg(F.min("file").cast("string").alias("file"))
     return t.sha_index.join(f, ["shard", "sha"], "left").select("sha", F.coalesce("file", F.lit("")).alias("file"))

@@ -155,22 +155,7 @@ def resolved_chunks(t: Tables):
     return dedup.resolve(t.chunks, dedup.last_locations(t.container_chunks)).select("file", "seq", "chunk", "container", "idx")
 
 
-@query("J3 J21 F5 F27", """with k as (select shard, case when shard % 2 = 0 then 'k' || shard end as key, case when shard % 3 = 0 then null else shard % 5 end as expiry from @shards),
-  c as (select s.shard, chunk, container, idx, case when key is null then sha256(chunk::varchar) else sha256(key || sha256(chunk::varchar)) end as stored from @shard_chunks s join k using (shard)),
-  p as (select distinct shard, sha256(chunk::varchar) as chunk from @shard_chunks where chunk % 5 = 0)
-  select p.shard, p.chunk, c.container, c.idx from p join k using (shard) join c on c.shard = p.shard and c.stored = case when key is null then p.chunk else sha256(key || p.chunk) end
-  where k.expiry is null or k.expiry > 2""")
-def keyed_lookup(t: Tables):
-    sha = lambda c: F.sha2(c.cast("string"), 256)
-    keyed = lambda c, k: F.sha2(F.concat(k, c), 256)
-    keys = t.shards.select("shard", F.when(F.col("shard") % 2 == 0, F.concat(F.lit("k"), F.col("shard").cast("string"))).alias("key"), F.when(F.col("shard") % 3 != 0, F.col("shard") % 5).alias("expiry"))
-    sc = t.shard_chunks
-    stored = sc.join(keys, "shard").select("shard", F.when(F.col("key").isNull(), sha(F.col("chunk"))).otherwise(keyed(sha(F.col("chunk")), F.col("key"))).alias("stored"), "container", "idx")
-    probes = sc.where("chunk % 5 = 0").select("shard", sha(F.col("chunk")).alias("chunk")).distinct()
-    return dedup.keyed_resolve(probes, dedup.unexpired(keys, F.lit(2)), stored, keyed)
-
-
-@query("J3 J21 F5 F27", """with k as (select shard, case when shard % 2 = 0 then 'k' || shard end as key, case when shard % 3 = 0 then null else shard % 5 end as expiry from @shards),
+@query("J3 F27", """with k as (select shard, case when shard % 2 = 0 then 'k' || shard end as key, case when shard % 3 = 0 then null else shard % 5 end as expiry from @shards),
   c as (select s.shard, chunk, container, idx, case when key is null then sha256(chunk::varchar) else sha256(key || sha256(chunk::varchar)) end as stored from @shard_chunks s join k using (shard)),
   p as (select distinct shard, sha256(case when chunk % 7 = 3 then -chunk else chunk end::varchar) as chunk from @shard_chunks)
   select p.shard, p.chunk, c.container, c.idx from p join k using (shard) join c on c.shard = p.shard and c.stored = case when key is null then p.chunk else sha256(key || p.chunk) end
@@ -198,7 +183,7 @@ def dedup_batch(t: Tables):
     return dedup.query_batch(t.chunks.select(F.col("chunk").alias("ord"), "chunk").distinct(), t.chunk_index, t.shard_chunks)
 
 
-@query("J15 J16 U4", """with s as (select chunk, 0 as source, container, idx from @container_chunks where chunk % 3 = 0 union all select chunk, 1, container + 1, idx from @container_chunks where chunk % 2 = 0
+@query("J15 U4", """with s as (select chunk, 0 as source, container, idx from @container_chunks where chunk % 3 = 0 union all select chunk, 1, container + 1, idx from @container_chunks where chunk % 2 = 0
     union all select chunk, 2, container + 2, idx from @container_chunks)
   select chunk, source, container, idx from (select *, row_number() over (partition by chunk order by source, container, idx) as r from s) where r = 1""")
 def resolved_by_precedence(t: Tables):
@@ -223,7 +208,7 @@ def deletes(t: Tables):
     return existed
 
 
-@query("U4 K14", "select key, arg_max(value, i) as value from (select file as key, 0 as i, shard as value from @file_index union all select file, 1, shard * 2 from @file_index where file % 2 = 0) group by key")
+@query("U4", "select key, arg_max(value, i) as value from (select file as key, 0 as i, shard as value from @file_index union all select file, 1, shard * 2 from @file_index where file % 2 = 0) group by key")
 def last_write_wins(t: Tables):
     a = t.file_index.select(F.col("file").alias("key"), F.col("shard").alias("value"))
     return dedup.last_wins([a, a.where("key % 2 = 0").withColumn("value", F.col("value") * 2)], "key", "value")
@@ -252,7 +237,7 @@ def range_plans(t: Tables):
     return _plan(t)
 
 
-@query("W11 F23 F24 S13", f"with {HITS} select request, container, chunk_start, chunk_end, byte_start, byte_end, first_term from fe")
+@query("W11 F23", f"with {HITS} select request, container, chunk_start, chunk_end, byte_start, byte_end, first_term from fe")
 def fetch_ranges(t: Tables):
     return reconstruct.fetches(_plan(t), t.container_chunks)
 
@@ -288,7 +273,7 @@ def batch_fetches(t: Tables):
     return reconstruct.batch_fetches(fetch_ranges(t))
 
 
-@query("P3 S34 S35", f"""with {HITS} select p.request, o as "offset", n_terms, b as bytes, n_ranges from
+@query("P3", f"""with {HITS} select p.request, o as "offset", n_terms, b as bytes, n_ranges from
   (select request, (max(lo) - min(start))::bigint as o, count(*) as n_terms, sum(unpacked)::bigint as b from pl group by 1) p join (select request, count(*) as n_ranges from fe group by 1) f using (request)""")
 def wire_plans(t: Tables):
     plan = _plan(t)

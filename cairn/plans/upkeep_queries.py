@@ -55,18 +55,6 @@ def dangling_files(t: Tables):
     return sweep.dangling(t.file_index, t.shards).select("file", "shard")
 
 
-@query("J12 U1 G7", """select container, size from @containers where container not in (select container from @shard_terms where shard in (select shard from @shards where shard % 700 = 0)
-  union select container from @shard_chunks where shard % 900 = 0)""")
-def dead_containers(t: Tables):
-    live = sweep.referenced(t.shard_terms.where("shard % 700 = 0"), t.shard_chunks.where("shard % 900 = 0"))
-    return sweep.dead_containers(t.containers, live).select("container", "size")
-
-
-@query("U1 G7", "select distinct container from (select container from @shard_terms where shard % 700 = 0 union select container from @shard_chunks where shard % 900 = 0)")
-def referenced_containers(t: Tables):
-    return sweep.referenced(t.shard_terms.where("shard % 700 = 0"), t.shard_chunks.where("shard % 900 = 0"))
-
-
 @query("U1 G7", "select container from @shard_terms union select container from @shard_chunks")
 def referenced_containers_all(t: Tables):
     """Containers that any shard names."""
@@ -85,7 +73,7 @@ def dead_containers_all(t: Tables):
     return sweep.dead_containers(k.unionByName(orphans), live).select("container", "size")
 
 
-@query("O7 G3", f"select shard, size from ({_masked(_dead('both', False))}) order by shard limit 20")
+@query("O7", f"select shard, size from ({_masked(_dead('both', False))}) order by shard limit 20")
 def bounded_sweep(t: Tables):
     shards, fi, si, _, sf, _, _ = _sweep_inputs(t)
     return sweep.bounded(sweep.dead_shards(shards, fi, si, sf).select("shard", "size"), "shard", 20)
@@ -120,7 +108,7 @@ def sweep_report(t: Tables):
     return sweep.report(sweep.sweep_plan(*_sweep_inputs(t)))
 
 
-@query("A15 T15", "select bool_and(done) as done, string_agg(distinct error, '; ' order by error) as errors, sum(bytes)::bigint as bytes from (select r_regionkey <> 3 as done, case when r_regionkey > 2 then r_name end as error, r_regionkey as bytes from region)")
+@query("A15", "select bool_and(done) as done, string_agg(distinct error, '; ' order by error) as errors, sum(bytes)::bigint as bytes from (select r_regionkey <> 3 as done, case when r_regionkey > 2 then r_name end as error, r_regionkey as bytes from region)")
 def sweep_roll_up(t: Tables):
     r = t.region
     return sweep.roll_up(r.select((F.col("r_regionkey") != 3).alias("done"), F.when(F.col("r_regionkey") > 2, F.col("r_name")).alias("error"), F.col("r_regionkey").cast("long").alias("bytes")))
@@ -133,12 +121,12 @@ def _cache_entries(t: Tables):
     return t.events.select(F.col("event_id").alias("name"), F.col("user_id").alias("cache"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("used"), (F.col("event_id") % 90 + 10).alias("size"), F.when(F.col("event_id") % 31 == 0, 1).otherwise(0).alias("refs"))
 
 
-@query("O8 G13", f"select name, refs = 0 and sum(size) over (partition by cache order by refs > 0 desc, used desc, name rows unbounded preceding) > 1500 as evict from {EV}")
+@query("O8", f"select name, refs = 0 and sum(size) over (partition by cache order by refs > 0 desc, used desc, name rows unbounded preceding) > 1500 as evict from {EV}")
 def lru_eviction(t: Tables):
     return sweep.lru_keep(_cache_entries(t), ["cache"], 1500).select("name", "evict")
 
 
-@query("O9 G15 G16", f"select name, cache from (select *, row_number() over (partition by cache order by used desc, name) as r from {EV}) where r <= 16")
+@query("O9 G15", f"select name, cache from (select *, row_number() over (partition by cache order by used desc, name) as r from {EV}) where r <= 16")
 def lru_top(t: Tables):
     return sweep.lru_top(_cache_entries(t), ["cache"], 16).select("name", "cache")
 
@@ -237,15 +225,6 @@ def oversized_containers(t: Tables):
     return validate.oversized(k, 4500, 190)
 
 
-@query("V3", """with d as (select container, idx, chunk + case when idx = 3 then 1 else 0 end as d_chunk, size as d_size from @container_chunks where container % 2 = 0 and idx <> 5),
-  s as (select container, idx, chunk as s_chunk, size as s_size from @container_chunks where container % 2 = 0)
-  select container, idx, d_chunk, d_size, s_chunk, s_size from d full join s using (container, idx) where d_chunk is distinct from s_chunk or d_size is distinct from s_size""")
-def differing_blocks(t: Tables):
-    k = t.container_chunks
-    d = k.where("container % 2 = 0 and idx <> 5").select("container", "idx", (F.col("chunk") + F.when(F.col("idx") == 3, 1).otherwise(0)).alias("chunk"), "size")
-    return validate.differing_blocks(d, k)
-
-
 @query("V3", """with d as (select container, case when idx % 40 = 5 then idx + 100000 else idx end as idx, chunk + case when idx % 40 = 3 then 1 else 0 end as d_chunk, size + case when idx % 40 = 9 then 1 else 0 end as d_size from @container_chunks),
   s as (select container, idx, chunk as s_chunk, size as s_size from @container_chunks)
   select container, idx, d_chunk, d_size, s_chunk, s_size from d full join s using (container, idx) where d_chunk is distinct from s_chunk or d_size is distinct from s_size""")
@@ -256,7 +235,7 @@ def differing_blocks_all(t: Tables):
     return validate.differing_blocks(d, k)
 
 
-@query("V4 V7 A7 F10 K16", """with c as (select doc_id // 5 as file, doc_id % 5 as seq, coalesce(text, '') as content from documents), f as (select file, sha256(string_agg(content, '' order by seq)) as sha from c group by file)
+@query("V4 V7 A7 F10", """with c as (select doc_id // 5 as file, doc_id % 5 as seq, coalesce(text, '') as content from documents), f as (select file, sha256(string_agg(content, '' order by seq)) as sha from c group by file)
   select file, case when file % 4 = 0 then sha256('other') else sha end as sha, sha as actual from f where file % 4 = 0""")
 def rebuilt_digests(t: Tables):
     d = t.documents
@@ -286,7 +265,7 @@ def upload_limits(t: Tables):
     return validate.upload_limits(t.orders.select(k.alias("name"), F.when(k % 3 == 0, "shard").otherwise("query").alias("kind"), F.when(k % 10 != 0, k * 40000).alias("length")))
 
 
-@query("S27 A14", """select user_id as request, arg_min(a, h) filter (a is not null) as etag, arg_min(b, h) filter (b is not null) as size from (
+@query("A14", """select user_id as request, arg_min(a, h) filter (a is not null) as etag, arg_min(b, h) filter (b is not null) as size from (
   select user_id, row_number() over (partition by user_id order by event_id) - 1 as h, case when event_id % 3 = 0 then event_type end as a, case when event_id % 4 = 0 then event_id end as b from events) where h < 8 group by user_id""")
 def first_hop_metadata(t: Tables):
     from pyspark.sql import Window
@@ -321,7 +300,7 @@ def failure_memory(t: Tables):
     return mirror.failure_state(t.events.select(F.col("user_id").alias("name"), F.col("event_id").alias("ord"), (F.col("event_id") % 4 == 0).alias("ok"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at")))
 
 
-@query("T1 T5 T7 T8", """select origin, content, ord, size, case when size is not null and known <> size then 'rejected' when r = 1 then 'leader' else 'follower' end as role from (
+@query("T1 T5 T7", """select origin, content, ord, size, case when size is not null and known <> size then 'rejected' when r = 1 then 'leader' else 'follower' end as role from (
   select *, row_number() over w as r, first_value(size ignore nulls) over (partition by origin, content order by ord rows unbounded preceding) as known from (
     select event_type as origin, user_id as content, event_id as ord, case when event_id % 5 = 0 then null else event_id % 2 end as size from events) window w as (partition by origin, content order by ord))""")
 def shared_downloads(t: Tables):
@@ -340,7 +319,7 @@ def live_entries(t: Tables):
     return mirror.live_entries(_entries(t), t.file_index).select("repo", "commit", "path", "file")
 
 
-@query("G9 U5", f"select repo, commit, path, file from {ME} where file is not null and file not in (select file from @file_index)")
+@query("U5", f"select repo, commit, path, file from {ME} where file is not null and file not in (select file from @file_index)")
 def dead_entries(t: Tables):
     return mirror.dead_entries(_entries(t), t.file_index).select("repo", "commit", "path", "file")
 
@@ -353,7 +332,7 @@ def empty_manifests(t: Tables):
     return mirror.empty_manifests(m, live).select("repo", "commit")
 
 
-@query("G11 S30 K15", f"select repo, commit, count(*) as files, sum(size)::bigint as bytes from {ME} group by repo, commit")
+@query("G11 S30", f"select repo, commit, count(*) as files, sum(size)::bigint as bytes from {ME} group by repo, commit")
 def manifest_totals(t: Tables):
     m = mirror.manifests(_entries(t))
     return m.select("repo", "commit", F.size("files").cast("long").alias("files"), F.aggregate(F.map_values("files"), F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("bytes"))
@@ -377,7 +356,7 @@ def file_by_digest(t: Tables):
     return t.shard_files.where(F.col("sha").isNotNull() & (F.col("sha") != sweep.ZERO_SHA)).groupBy("shard", "sha").agg(F.min_by("file", "file_ord").alias("file"))
 
 
-@query("G10 S31 P5", "select event_id as path, value as size from events where ts < timestamp '2024-01-15' and event_id not in (select event_id from events where user_id % 4 = 0)")
+@query("G10 P5", "select event_id as path, value as size from events where ts < timestamp '2024-01-15' and event_id not in (select event_id from events where user_id % 4 = 0)")
 def idle_spools(t: Tables):
     e = t.events.select(F.col("event_id").alias("path"), F.col("value").alias("size"), F.col("ts").alias("mod_time"), "user_id")
     return mirror.idle_spools(e, e.where("user_id % 4 = 0").select("path"), F.lit("2024-01-15").cast("timestamp")).select("path", "size")
@@ -436,17 +415,10 @@ def hub_paths(t: Tables):
     return x.select("page_id", "p.repo", "p.rev", "p.path", fn.origin(F.col("url")).alias("origin"), F.col("built").alias("url"), fn.valid_path(F.col("p.path")).alias("good"), fn.valid_path(F.lit("a/../b")).alias("bad"))
 
 
-@query("F39 F51", "select page_id, url as next, 'https://x.example/2' as auth, case when page_id = 0 then '0 B' else format('{:.1f} KiB', page_id * 1536 / 1024.0) end as human from pages where page_id < 600")
-def link_headers(t: Tables):
-    header = F.concat(F.lit("<"), F.col("url"), F.lit('>; rel="next", <https://x.example/1>; rel=auth, <https://x.example/2>; title="t"; rel="auth"'))
-    x = t.pages.where("page_id < 600").select("page_id", fn.links(header).alias("m"), fn.byte_size(F.col("page_id") * 1536).alias("human"))
-    return x.select("page_id", F.col("m")["next"].alias("next"), F.col("m")["auth"].alias("auth"), "human")
-
-
 @query("F39 F51", """select page_id, url as next, 'https://x.example/2' as auth, case when b < 1024 then b || ' B' when b < 1048576 then format('{:.1f} KiB', b / 1024.0) when b < 1073741824 then format('{:.1f} MiB', b / 1048576.0)
   else format('{:.1f} GiB', b / 1073741824.0) end as human from (select *, case page_id % 4 when 0 then page_id when 3 then page_id * 1048576 + 1073741824 else page_id * 1536 end as b from pages)""")
 def link_headers_all(t: Tables):
-    """link_headers over every page; sizes from bytes to GiB."""
+    """Links of every page; sizes from bytes to GiB."""
     i = F.col("page_id")
     header = F.concat(F.lit("<"), F.col("url"), F.lit('>; rel="next", <https://x.example/1>; rel=auth, <https://x.example/2>; title="t"; rel="auth"'))
     size = F.when(i % 4 == 0, i).when(i % 4 == 3, i * 1048576 + 1073741824).otherwise(i * 1536)
@@ -471,7 +443,7 @@ def telemetry(t: Tables):
     return t.events.select(i.alias("name"), fn.valid_envelope(body).alias("valid"))
 
 
-@query("F11", None)
+@query("F11", "select doc_id, sha1('blob ' || strlen(coalesce(text, '')) || chr(0) || coalesce(text, '')) as blob from documents")
 def blob_ids(t: Tables):
     return t.documents.select("doc_id", fn.blob_id(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("blob"))
 
