@@ -75,7 +75,7 @@ def test_missing_and_damaged_files_are_errors(spark, tmp_path):
     assert contents(spark, s, ["a", "e"]) == {"a": (None, "digest differs"), "e": (b"", None)} and [r.file for r in s.verify().collect()] == ["a"]
 
 
-@pytest.mark.parametrize("write", ["staged", "fresh", "containers", "places", "terms", "shards", "chunk_index", "sha256_index", "file_index", "commit"])
+@pytest.mark.parametrize("write", ["staged", "containers", "shards", "file_index", "commit"])
 def test_a_put_killed_at_any_write_has_done_nothing(spark, tmp_path, monkeypatch, write):
     s = Store(spark, str(tmp_path / "s"))
     data = random.Random(2).randbytes(20_000)
