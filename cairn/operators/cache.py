@@ -16,10 +16,12 @@ def covered(ranges: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def merged(ranges: DataFrame) -> DataFrame:
-    """container, chunk_start, chunk_end, parts: ranges that touch or overlap become one."""
-    w = Window.partitionBy("container").orderBy("chunk_start", "chunk_end")
+    """container, chunk_start, chunk_end, parts: ranges that touch or overlap become one. A range without an end joins the one
+    that reaches its start; one without a start stays alone."""
+    # Both windows read one sort, so equal ranges stand in one order for both. Nulls last: Spark would put them first.
+    w = Window.partitionBy("container").orderBy(F.asc_nulls_last("chunk_start"), F.asc_nulls_last("chunk_end"))
     reach = F.max("chunk_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = ranges.withColumn("__new", (reach.isNull() | (F.col("chunk_start") > reach)).cast("int"))
+    x = ranges.withColumn("__new", F.when(F.col("chunk_start") <= reach, 0).otherwise(1))
     x = x.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy("container", "__g").agg(F.min("chunk_start").alias("chunk_start"), F.max("chunk_end").alias("chunk_end"), F.count("*").alias("parts")).drop("__g")
 
