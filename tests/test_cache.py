@@ -11,10 +11,13 @@ import __spark_entry__ as entry
 from cairn.operators import cache
 
 
-def odd_lines(path):
+def random_lines():
     """Line items of few containers and parts: many equal ranges, and ranges without an end, a start or a container."""
     rng = random.Random(5)
-    rows = [(i // 4, rng.choice([None, *range(60)]), rng.choice([None, *range(8)]), i % 4, rng.choice([None, *map(float, range(1, 9))])) for i in range(800)]
+    return [(i // 4, rng.choice([None, *range(60)]), rng.choice([None, *range(8)]), i % 4, rng.choice([None, *map(float, range(1, 9))])) for i in range(800)]
+
+
+def write(path, rows):
     con = duckdb.connect()
     con.execute("create table l (l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double)")
     con.executemany("insert into l values (?, ?, ?, ?, ?)", rows)
@@ -32,7 +35,7 @@ def both(spark, path, name):
 
 
 def test_merged_ranges_of_odd_lines(spark, tmp_path):
-    odd_lines(tmp_path)
+    write(tmp_path, random_lines())
     got, want = both(spark, tmp_path, "merged_ranges")
     assert got == want and any(r[2] is None for r in got) and any(r[3] > 9 for r in got)
 
@@ -43,3 +46,16 @@ def test_equal_ranges_and_ranges_without_an_end(spark, copies):
     out = cache.merged(spark.createDataFrame(given * copies, "container long, chunk_start long, chunk_end long"))
     alone = [(1, 20, None, 1), (1, None, 30, 1), (1, None, None, 1)]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, 2, 7, 4 * copies), (1, 9, 11, 2 * copies), *alone * copies], key=repr)
+
+
+def test_a_range_without_an_end_has_its_island_rewritten(spark, tmp_path):
+    chunks = [(100 + p, p, 5, 0, 1.0) for p in range(8)]  # container 0 holds eight chunks
+    write(tmp_path, [(1, 3, 0, 0, 1.0), (1, 3, 0, 1, None), (2, 6, 0, 0, 1.0), *chunks])
+    got, want = both(spark, tmp_path, "rewritten_ranges")
+    assert got == want == [(0, 3, 5, 3, 301), (0, 3, 5, 4, 401)]
+
+
+def test_rewritten_ranges_of_odd_lines(spark, tmp_path):
+    write(tmp_path, random_lines())
+    got, want = both(spark, tmp_path, "rewritten_ranges")
+    assert got == want and got
