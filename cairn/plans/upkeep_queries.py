@@ -147,7 +147,7 @@ RANGES = "(select l_suppkey as container, (l_partkey % 997)::bigint as chunk_sta
 
 def _ranges(t: Tables):
     p = F.col("l_partkey") % 997
-    return t.lineitem.select(F.col("l_suppkey").alias("container"), p.alias("chunk_start"), (p + F.col("l_quantity").cast("long") % 7 + 1).alias("chunk_end"))
+    return t.lineitem.select(F.col("l_suppkey").alias("container"), p.alias("chunk_start"), (p + F.rint("l_quantity").cast("long") % 7 + 1).alias("chunk_end"))
 
 
 ISLANDS = f"""(select container, g, min(chunk_start) as chunk_start, max(chunk_end) as chunk_end, count(*) as parts from (

@@ -59,3 +59,17 @@ def test_rewritten_ranges_of_odd_lines(spark, tmp_path):
     write(tmp_path, random_lines())
     got, want = both(spark, tmp_path, "rewritten_ranges")
     assert got == want and got
+
+
+def test_rewritten_ranges_of_broken_quantities(spark, tmp_path):
+    rng = random.Random(6)
+    write(tmp_path, [(i // 4, rng.randrange(60), rng.randrange(8), i % 4, rng.randrange(4, 200) / 4) for i in range(800)])
+    got, want = both(spark, tmp_path, "rewritten_ranges")
+    assert got == want and got
+
+
+def test_rewritten_ranges_of_very_large_keys(spark, tmp_path):
+    first = 997 * 10**13  # 100 chunks a part, 800 a container; as doubles, some quotients round into the next
+    write(tmp_path, [(i // 4, first + i % 97, first // 8 + i % 13, i % 4, float(i % 50 + 1)) for i in range(800)])
+    got, want = both(spark, tmp_path, "rewritten_ranges")
+    assert got == want and got
